@@ -10,9 +10,9 @@ has Chernoff-like concentration.
 B bands of R coordinates give candidate buckets. At similarity 0.75, R = 4 and B = 32 miss a pair
 with probability (1 - 0.75**4)**32 = 5e-6. Equal sets are first collapsed to one representative
 (the smallest doc_id), so copies meet in no bucket. In a bucket every member is paired with the
-least representative (a star, linear in the bucket); pairs are confirmed on the full sets, links
-become components, and buckets that still hold several components are gone through again with all
-pairs across components that pass the length bound, so no link is lost to the star.
+least representative (a star, linear in the bucket); pairs are confirmed on the full sets and links
+become components. Documents of buckets that still hold several components go through an exact prefix-filter
+join across components, so no link is lost to the star.
 
 Defined cases: null text and text without words give the empty set, linked with nothing; a row with
 a null doc_id has its n_shingles, component_id null and kept true; repeated rows share the result;
@@ -206,6 +206,37 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _across(sets: DataFrame, percent: int, stash: Stash) -> DataFrame:
+    """Pairs (a, b) of sets(node, component, shingles) in different components that may reach the similarity.
+
+    Prefix and positional filtering, which are exact: with shingles ordered from the rarest on, two such sets
+    share one of their first n - ceil(percent / 100 * n) + 1 shingles, and from their first common one
+    on, both have as many left as they must share. A passage that many documents share stands last in that
+    order, so it brings no pairs unless it makes up most of the texts; neither do copies of one text that each
+    have too many shingles of their own.
+    """
+    each = sets.select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rarity = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"))
+    ranked = each.join(rarity, "shingle").groupBy("node", "component", "n")
+    ranked = ranked.agg(F.sort_array(F.collect_list(F.struct("docs", "shingle"))).alias("all"))
+    first = F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
+    heads = ranked.select("node", "component", "n", F.posexplode(first).alias("place", "x")).filter("x.docs > 1")
+    heads = heads.select("node", "component", "n", (F.col("n") - F.col("place")).alias("left"), F.col("x.shingle").alias("shingle"))
+    heads = stash.put(heads, "heads")
+    several = heads.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
+    heads = heads.join(several.select("shingle"), "shingle", "left_semi")
+    one, two = (
+        heads.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "component", "left")], F.col("node").alias(x)) for x in "ab"
+    )
+    pairs = one.join(two, "shingle").filter(
+        (F.col("a") < F.col("b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & ((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b")))
+    )
+    return pairs.select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links need 100 |A & B| >= percent |A or B|."""
     spark = docs.sparkSession
@@ -233,20 +264,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = stash.put(_confirmed(stars, full, percent), "links1")
     found = connected_components(links)
 
-    # A star finds its hub's links only. Where a bucket still holds several components, the pairs
-    # across them are confirmed as well, save those that the length bound or the star settled.
-    open_ = members.filter("members > 2 AND node != hub").join(found, "node", "left")
-    open_ = open_.select("bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    # A star finds its hub's links only. Documents of buckets that still hold several components go
+    # through an exact join across components.
+    open_ = members.filter("members > 2").join(found, "node", "left")
+    open_ = open_.select("bucket", "node", F.coalesce("component", "node").alias("component"))
     several = open_.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-    open_ = stash.put(open_.join(several.select("bucket"), "bucket", "left_semi"), "open")
-    one = open_.select("bucket", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))
-    two = open_.select("bucket", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"))
-    across = one.join(two, "bucket").filter(
-        (F.col("a") < F.col("b"))
-        & (F.col("c_a") != F.col("c_b"))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    )
-    across = across.select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    open_ = open_.join(several.select("bucket"), "bucket", "left_semi").select("node", "component").distinct()
+    open_ = stash.put(open_, "open")
+    across = _across(full.join(open_, "node"), percent, stash).join(stars.select("a", "b"), ["a", "b"], "left_anti")
     more = stash.put(_confirmed(across, full, percent), "links2")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
