@@ -46,15 +46,28 @@ NEAR, BOOST, LEAST = 40, 0.3, 0.5
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _running(lengths: Column) -> Column:
     """Sums of all lengths before each element, in steps of about the root of their number."""
-    n = F.size(lengths)
-    step = F.ceil(F.sqrt(F.greatest(n, F.lit(1)))).cast("int")
-    add = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    whole = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda b: add(F.slice(lengths, b * step + 1, step)))
-    begin = F.transform(F.sequence(F.lit(0), F.size(whole) - 1), lambda b: add(F.slice(whole, F.lit(1), b)))
-    inside = lambda i: add(F.slice(lengths, i - F.pmod(i, step) + 1, F.pmod(i, step)))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(begin, F.floor(i / step).cast("int")) + inside(i))
+    step = F.ceil(F.sqrt(F.size(lengths))).cast("int")
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    def by_steps(begin: Column) -> Column:
+        def before(x: Column, i: Column) -> Column:
+            return F.get(begin, F.floor(i / step).cast("int")) + total(F.slice(lengths, i - F.pmod(i, step) + 1, F.pmod(i, step)))
+
+        return F.transform(lengths, before)
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / step).cast("int"))
+    steps = F.transform(numbers, lambda b: total(F.slice(lengths, b * step + 1, step)))
+    # Both arguments are bound first, or every element would compute them anew.
+    return _let(steps, lambda whole: _let(F.transform(whole, lambda x, b: total(F.slice(whole, F.lit(1), b))), by_steps))
 
 
 def luhn(digits: Column) -> Column:
@@ -78,12 +91,11 @@ def _valid(kind: str, text: Column) -> Column:
     if kind == "ip":
         return text.rlike(rf"^(?:{_BYTE}\.){{3}}{_BYTE}$")
     if kind == "card":
-        return F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False)
+        return _let(digits, lambda d: F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False))
     if kind == "phone":
         return F.length(digits).between(9, 15)
     if kind == "iban":
-        code = F.replace(text, F.lit(" "))
-        return F.when(F.length(code).between(15, 34), mod97(code)).otherwise(False)
+        return _let(F.replace(text, F.lit(" ")), lambda c: F.when(F.length(c).between(15, 34), mod97(c)).otherwise(False))
     if kind == "ssn":
         return ~text.rlike("^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
@@ -91,20 +103,20 @@ def _valid(kind: str, text: Column) -> Column:
 
 def _spans(kind: str, text: Column, matches: Column) -> Column:
     """array<struct<kind, start, end, text, score>> of a kind's valid matches."""
-    gaps = F.split(text, PATTERNS[kind], -1)
-    lengths = F.transform(F.sequence(F.lit(0), F.size(matches) - 1), lambda i: F.length(F.get(gaps, i)) + F.length(F.get(matches, i)))
-    ends = _running(lengths)
-
-    def span(i: Column) -> Column:
-        own = F.get(matches, i)
-        start = F.get(ends, i) + F.length(F.get(gaps, i))
-        near = F.lower(F.concat(F.right(F.get(gaps, i), F.lit(NEAR)), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(NEAR))))
-        score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT[kind]), BOOST).otherwise(0.0))
-        return F.struct(
-            F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(own)).alias("end"), own.alias("text"), score.alias("score")
-        )
-
-    found = F.filter(F.transform(F.sequence(F.lit(0), F.size(matches) - 1), span), lambda s: _valid(kind, s["text"]))
+
+    def located(gaps: Column) -> Column:
+        def span(own: Column, i: Column, ends: Column) -> Column:
+            start = F.get(ends, i) + F.length(F.get(gaps, i))
+            near = F.lower(F.concat(F.right(F.get(gaps, i), F.lit(NEAR)), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(NEAR))))
+            score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT[kind]), BOOST).otherwise(0.0))
+            return F.struct(
+                F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(own)).alias("end"), own.alias("text"), score.alias("score")
+            )
+
+        lengths = F.transform(matches, lambda own, i: F.length(F.get(gaps, i)) + F.length(own))
+        return _let(_let(lengths, _running), lambda ends: F.transform(matches, lambda own, i: span(own, i, ends)))
+
+    found = F.filter(_let(F.split(text, PATTERNS[kind], -1), located), lambda s: _valid(kind, s["text"]))
     if kind not in BASE:
         found = F.filter(found, lambda s: s["score"] >= LEAST)
     return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(SPANS))
