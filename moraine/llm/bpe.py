@@ -1,8 +1,9 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-Text is cut at white space into chunks, which no merge crosses; equal chunks are encoded once per
-block. Chunks are normalised and pre-tokenised into words by the tokenizer file's own rules, and all
-distinct words of a block lie behind one another in one symbol array with links to their neighbours.
+Text is cut into words, which no merge crosses; equal words are encoded once. Texts of plain characters are cut
+here; others are cut at white space into chunks, which are normalised and pre-tokenised into words by the
+tokenizer file's own rules. All distinct words of a block lie behind one another in one symbol array with links
+to their neighbours.
 An index maps every pair of adjacent symbols to all its positions. Active pairs are taken in
 ascending rank; all occurrences of a pair are merged at once, the links are mended, and the pairs
 that arise at the seams are entered into the index (and may become active). Words are independent, so
@@ -19,7 +20,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ship, spread
 
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-#: Chunks of printable ASCII and Latin letters (U+00C0 to U+024F without the two signs). In this range the
-#: pre-tokeniser's classes are these.
+#: Printable ASCII and Latin letters (U+00C0 to U+024F without the two signs). In this range the pre-tokeniser's
+#: classes are these, so words are cut here, and A-Z may be lower-cased before.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-PLAIN = re.compile(rf"[\x21-\x7e{_LETTERS}]+")
+PLAIN = re.compile(rf"[\x09-\x0d\x20-\x7e{_LETTERS}]*")
 PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
-#: Chunks whose ids a worker remembers, and bytes of text that are encoded together.
-REMEMBERED, BLOCK = 400_000, 4 << 20
+#: The rules for which the above holds.
+WORD_RULES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Words and chunks whose ids a worker remembers, and bytes of text that are encoded together.
+REMEMBERED, BLOCK = 500_000, 4 << 20
 
 
 def _byte_characters() -> list[str]:
@@ -51,6 +54,30 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def follows_word_rules(spec: dict) -> bool:
+    """Whether a tokenizer file cuts text by WORD_RULES after NFC, white space folding and lower-casing."""
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    rules = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+    return steps == ["NFC", "Replace", "Lowercase"] and rules == WORD_RULES
+
+
+def cut_text(text: str, special: Iterable[str] | None) -> tuple[list[str], bool]:
+    """The words of a plain text without special tokens, and true; else its white-space chunks, and false."""
+    if special is not None and PLAIN.fullmatch(text):
+        lower = text.encode().lower().decode()
+        if not any(s in lower for s in special):
+            return PLAIN_WORDS.findall(lower), True
+    return CHUNK.findall(text), False
+
+
+def forget(memory: dict, latest: list[list[str]]) -> None:
+    """Take the latest keys out of a memory that is full: what came first stays, as frequent words come early."""
+    if len(memory) > REMEMBERED:
+        for keys in latest:
+            for k in keys:
+                memory.pop(k, None)
+
+
 class PairIndexBpe:
     """BPE of a tokenizers file (a BPE model with ranks by merge order)."""
 
@@ -80,6 +107,7 @@ class PairIndexBpe:
         self.pairs, first = np.unique(pairs, return_index=True)
         self.ranks, self.joined = first.astype(np.int64), joined
         self.left, self.right = left, right
+        self.by_words = follows_word_rules(spec)
         char_of = _byte_characters()
         self.byte_of = {c: b for b, c in enumerate(char_of)}
         self.first = np.array([self.vocab[c] for c in char_of], np.int64)
@@ -162,23 +190,12 @@ class PairIndexBpe:
         return at[(np.arange(len(at)) - start) % 2 == 0]
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk as little-endian unsigned 32-bit integers."""
+        """The ids of any chunks as little-endian unsigned 32-bit integers."""
         words: dict[bytes, int] = {}
-        plain = [i for i, c in enumerate(chunks) if PLAIN.fullmatch(c) and not self._special(c)]
-        pieces: list[list[tuple[int, int]] | None] = [None] * len(chunks)
-        # White space parts the chunks and no rule of the normaliser reaches across it.
-        normal = self.normalize(" ".join([chunks[i] for i in plain])).split(" ") if plain else []
-        for i, chunk in zip(plain, normal, strict=True):
-            pieces[i] = [(0, words.setdefault(w.encode(), len(words))) for w in PLAIN_WORDS.findall(chunk)]
-        for i, chunk in enumerate(chunks):
-            if pieces[i] is None:
-                pieces[i] = self._pieces(chunk, words)
+        pieces = [self._pieces(chunk, words) for chunk in chunks]
         ids = self._encode_words(list(words))
         return [b"".join([w.to_bytes(4, "little") if kind else ids[w] for kind, w in own]) for own in pieces]
 
-    def _special(self, chunk: str) -> bool:
-        return self.special_at is not None and self.special_at.search(chunk) is not None
-
     def _pieces(self, chunk: str, words: dict[bytes, int]) -> list[tuple[int, int]]:
         """Words (kind 0) and special ids (kind 1) of any chunk, by the library's own rules."""
         own, at = [], 0
@@ -205,14 +222,18 @@ class PairIndexBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [CHUNK.findall(t) for t in texts]
-        memory = self.memory
-        missing = list({c for chunks in cut for c in chunks if c not in memory})
-        if len(memory) + len(missing) > REMEMBERED:
-            memory.clear()
-            missing = list({c for chunks in cut for c in chunks})
-        memory.update(zip(missing, self.encode_chunks(missing), strict=True))
-        return [b"".join(map(memory.__getitem__, chunks)) for chunks in cut]
+        cut, words, chunks, memory = [], set(), set(), self.memory
+        for text in texts:
+            own, plain = cut_text(text, self.special if self.by_words else None)
+            cut.append(own)
+            (words if plain else chunks).update(own)
+        words, chunks = [w for w in words if w not in memory], [c for c in chunks if c not in memory]
+        normal = [w if w.isascii() else self.normalize(w) for w in words]
+        memory.update(zip(words, self._encode_words([w.encode() for w in normal]), strict=True))
+        memory.update(zip(chunks, self.encode_chunks(chunks), strict=True))
+        out = [b"".join(map(memory.__getitem__, own)) for own in cut]
+        forget(memory, [words, chunks])
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by spaces, as a tokenizer without a decoder does."""

@@ -21,6 +21,7 @@ another in the order of their texts; extra columns are ignored; an empty table g
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import zlib
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import CHUNK, default_tokenizer, text_blocks
+from .bpe import cut_text, default_tokenizer, follows_word_rules, forget, text_blocks
 from .common import Stash, ship
 from .files import RollingWriter, filesystem, read_range, write_small
 
@@ -42,14 +43,15 @@ HEAD = len(MAGIC) + 32 + 1
 END_ID = 1
 SAMPLE, DICTIONARY_BYTES, SAMPLE_TEXT_BYTES = 1000, 1 << 16, 8 << 20
 FILE_BYTES, LEVEL = 32 << 20, 1
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Strings that the library encodes in one call.
+ASKED = 4096
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct white-space chunk.
+    """The tokenizers library, asked once for each distinct word (or white-space chunk, where a text is not plain).
 
-    No token of this tokenizer reaches across ASCII white space, so a text's ids are those of its chunks.
+    No token of a tokenizer with these word rules reaches across words, so a text's ids are those of its
+    words. With any other tokenizer, whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -59,23 +61,30 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.by_words = follows_word_rules(spec)
         self.memory: dict[str, bytes] = {}
         self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
+    def _ask(self, strings: list[str]) -> Iterator[bytes]:
+        """Serialised ids of some strings, a few thousand at a time, since the library's results are large."""
+        for at in range(0, len(strings), ASKED):
+            ids = [e.ids for e in self.library.encode_batch_fast(strings[at : at + ASKED], add_special_tokens=False)]
+            ends = (np.cumsum([0, *map(len, ids)]) * np.dtype(self.kind).itemsize).tolist()
+            flat = np.array(list(chain.from_iterable(ids)), self.kind).tobytes()
+            yield from (flat[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Serialised ids of each text."""
-        cut = [CHUNK.findall(t) for t in texts]
-        memory = self.memory
-        missing = [c for c in set(chain.from_iterable(cut)) if c not in memory]
-        ids = [e.ids for e in self.library.encode_batch_fast(missing, add_special_tokens=False)]
-        sizes = np.cumsum([0, *map(len, ids)]) * np.dtype(self.kind).itemsize
-        flat = np.array(list(chain.from_iterable(ids)), self.kind).tobytes()
-        ends = sizes.tolist()
-        memory.update(zip(missing, [flat[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)], strict=True))
-        out = [b"".join(map(memory.__getitem__, chunks)) for chunks in cut]
-        if len(memory) > REMEMBERED:  # what came first stays: frequent chunks come early
-            for c in missing:
-                del memory[c]
+        if not self.by_words:
+            return list(self._ask(texts))
+        cut, memory = [cut_text(t, self.special)[0] for t in texts], self.memory
+        missing = [w for w in set(chain.from_iterable(cut)) if w not in memory]
+        memory.update(zip(missing, self._ask(missing), strict=True))
+        out = [b"".join(map(memory.__getitem__, own)) for own in cut]
+        forget(memory, [missing])
         return out
 
 
