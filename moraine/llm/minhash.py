@@ -9,9 +9,9 @@ has Chernoff-like concentration.
 
 B bands of R coordinates give candidate buckets. At similarity 0.75, R = 4 and B = 32 miss a pair
 with probability (1 - 0.75**4)**32 = 5e-6. Equal sets are first collapsed to one representative
-(the smallest doc_id), so copies meet in no bucket. In a bucket every member is paired with the
-least representative (a star, linear in the bucket); pairs are confirmed on the full sets and links
-become components. Documents of buckets that still hold several components go through an exact prefix-filter
+(the smallest doc_id), so copies meet in no bucket. In a bucket every member is paired with its hub (a star,
+linear in the bucket): the representative that meets most others over all its buckets, which in a group of
+near copies is the one most like the rest. Pairs are confirmed on the full sets and links become components. Documents of buckets that still hold several components go through an exact prefix-filter
 join across components, so no link is lost to the star.
 
 Defined cases: null text and text without words give the empty set, linked with nothing; a row with
@@ -250,11 +250,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = stash.put(reps, "reps")
     sets = signed.join(reps.select(F.col("node").alias("doc_id"), *keys), ["doc_id", *keys], "left_semi")
     banded = sets.select(F.col("doc_id").alias("node"), "n_shingles", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(
-        F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members")
-    )
-    buckets = buckets.filter("hub != last").drop("last")
-    members = stash.put(banded.join(buckets, "bucket").select("bucket", "hub", "members", "node", "n_shingles"), "members")
+    buckets = banded.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("members"))
+    met = stash.put(banded.join(buckets.filter("x != y").drop("x", "y"), "bucket"), "met")
+    weight = met.groupBy("node").agg(F.sum("members").alias("weight"))
+    members = stash.put(met.join(weight, "node"), "members")
+    hubs = members.groupBy("bucket").agg((-F.max(F.struct("weight", -F.col("node")))["col2"]).alias("hub"))
+    members = members.drop("weight").join(hubs, "bucket")
 
     stars = members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     stars = stash.put(stars, "stars")
