@@ -194,11 +194,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets overlap enough; the hub of a star is joined last."""
+    """The pairs (a, b) whose full sets overlap enough; the hub of a star is joined last.
+
+    Sets are never broadcast and neither are pairs, so the plan and what it moves per row are alike at every size.
+    """
     left = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     common = F.size(F.array_intersect("set_a", "set_b"))
-    joined = pairs.join(left, "b").join(right, "a")
+    joined = pairs.join(left.hint("merge"), "b").join(right.hint("merge"), "a")
     return (
         joined.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("both"))
         .filter(100 * F.col("common") >= percent * (F.col("both") - F.col("common")))
@@ -254,14 +257,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     met = stash.put(banded.join(buckets.filter("x != y").drop("x", "y"), "bucket"), "met")
     weight = met.groupBy("node").agg(F.sum("members").alias("weight"))
     members = stash.put(met.join(weight, "node"), "members")
-    hubs = members.groupBy("bucket").agg((-F.max(F.struct("weight", -F.col("node")))["col2"]).alias("hub"))
+    hub = F.max(F.struct("weight", (-F.col("node")).alias("id"), "n_shingles"))
+    hubs = members.groupBy("bucket").agg(hub.alias("h")).select("bucket", (-F.col("h.id")).alias("hub"), F.col("h.n_shingles").alias("hub_n"))
     members = members.drop("weight").join(hubs, "bucket")
 
-    stars = members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    # Sets whose sizes differ too much can't be alike enough.
+    alike = 100 * F.least("n_shingles", "hub_n") >= percent * F.greatest("n_shingles", "hub_n")
+    stars = members.filter(F.col("node") != F.col("hub")).filter(alike).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     stars = stash.put(stars, "stars")
-    nodes = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    full = given.join(nodes, "doc_id").mapInArrow(_sets, "node long, shingles array<long>")
-    full = stash.put(full.dropDuplicates(["node"]), "sets")
+    nodes = met.select(F.col("node").alias("doc_id")).distinct()
+    # The texts are shuffled once; rows of one id lie together then.
+    texts = given.join(nodes.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+    full = stash.put(texts.mapInArrow(_sets, "node long, shingles array<long>"), "sets")
     links = stash.put(_confirmed(stars, full, percent), "links1")
     found = connected_components(links)
 

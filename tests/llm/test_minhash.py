@@ -84,6 +84,17 @@ def test_a_hot_group_around_the_threshold_and_a_common_passage(spark):
     check(spark, rows)
 
 
+def test_short_near_copies_inside_long_ones(spark):
+    """Buckets whose hub is too long to be like the others must not hide the links among these."""
+    rng, rows, at = random.Random(3), [], 0
+    for _ in range(10):
+        words = [f"w{rng.randrange(9000)}" for _ in range(200)]
+        longer = words + [f"w{rng.randrange(9000)}" for _ in range(120)]
+        for copy in range(3):
+            rows += [(at := at + 1, " ".join(mutated(rng, longer, copy))), (at := at + 1, " ".join(mutated(rng, words, copy)))]
+    check(spark, rows)
+
+
 def test_sketches_estimate_the_similarity():
     rng = np.random.default_rng(0)
     for n in (1, 3, 40, 2000):
