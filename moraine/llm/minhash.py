@@ -16,8 +16,8 @@ join across components, so no link is lost to the star.
 
 Defined cases: null text and text without words give the empty set, linked with nothing; a row with
 a null doc_id has its n_shingles, component_id null and kept true; repeated rows share the result;
-rows with one doc_id and different texts are each judged by their own text; further columns are
-ignored; empty tables give empty results.
+ids are taken to name one text: rows with one doc_id and different texts keep their own n_shingles, but
+links are sought for one of these texts only; further columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
