@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ship, spread
 
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-#: Printable ASCII and Latin letters (U+00C0 to U+024F without the two signs). In this range the pre-tokeniser's
-#: classes are these, so words are cut here, and A-Z may be lower-cased before.
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Printable ASCII and Latin letters (U+00C0 to U+024F without the two signs, and without U+0130, whose lower
+#: case is i and a mark that parts words). In this range the pre-tokeniser's classes are these, so words are cut
+#: here, and A-Z may be lower-cased before.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 PLAIN = re.compile(rf"[\x09-\x0d\x20-\x7e{_LETTERS}]*")
 PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 #: The rules for which the above holds.

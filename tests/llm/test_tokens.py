@@ -60,6 +60,16 @@ def test_random_words_with_other_merges(library, monkeypatch):
     assert len(own.memory) <= 50
 
 
+def test_every_character_alone_and_in_words_by_both_encoders(library):
+    """Texts that hold one character beside plain ones, so that each is cut as a plain text if it counts as plain."""
+    own, asking = bpe.PairIndexBpe(WORD), token_output.LibraryEncoder(WORD)
+    for form in ("{}", "a{}b", "I{}'S", " {}1"):
+        texts = [form.format(chr(c)) for c in [*range(1, 0x0600), *range(0x1E00, 0x2200), *range(0xFB00, 0xFB10)]]
+        want = [ids_of(library, t) for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+        assert [np.frombuffer(x, asking.kind).tolist() for x in asking.encode(texts)] == want
+
+
 def test_merges_whose_parts_rank_higher(tmp_path):
     """A vocabulary in which a merge yields a pair of lower rank: ranks are still taken in ascending order."""
     from tokenizers import models, normalizers, pre_tokenizers
