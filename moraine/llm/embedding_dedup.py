@@ -4,10 +4,14 @@ In each pass every vector gets a key of 64 concatenated random hyperplane signs.
 that key over the whole cluster, the order is cut into blocks of BLOCK vectors, and each block is compared
 with itself and the REACH blocks that follow it. Links of all passes are united into components.
 
-The number of passes follows from the number of vectors: two vectors at the threshold share a sign with
-probability p = 1 - acos(threshold) / pi, and fall into one window if they share about the first
-log2(n / window) signs. Passes are added until a pair at the threshold is missed with probability
-MISS at most; closer pairs are missed far less.
+The number of passes follows from the vectors. A first guess takes them as evenly spread: two vectors at the
+threshold share a sign with probability p = 1 - acos(threshold) / pi, and fall into one window if they share about
+the first log2(n / window) signs. After these passes the sorted keys tell for every vector how many leading signs
+lead into its window, and its distances from their planes tell how likely a neighbour at the threshold, in
+a random direction, shares them. Vectors whose neighbour all passes miss with a probability above MISS, as in a
+dense topic without links, go through further passes among themselves, until none is left; where comparing
+the remaining ones with each other is no more work than the passes they need, that is done. So a
+pair at the threshold is missed with probability MISS at most; closer pairs are missed far less.
 
 A pair that several passes bring together counts once: every vector carries its block number in
 all passes, and a pass skips pairs that an earlier one has compared. Thus only degrees and the edges of
@@ -41,10 +45,12 @@ BLOCK, REACH = 256, 2
 #: Consecutive blocks that one group of rows holds, besides the REACH blocks after them.
 HOME = 8
 SEED = 11
+#: Block number in passes that a vector takes no part in.
+ABSENT = -(1 << 40)
 
 
 def passes_for(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold is missed with probability ``miss``."""
+    """Passes after which a pair of evenly spread vectors at the threshold is missed with probability ``miss``."""
     same = 1 - math.acos(threshold) / math.pi
     bits = max(0.0, math.log2(max(n, 1) / (BLOCK * REACH)))
     hit = same**bits
@@ -58,7 +64,11 @@ def usable(column):
     return F.coalesce(column.isNotNull() & ~bad & (length > 0) & (length < float("inf")), F.lit(False))
 
 
-def _keys(passes: int):
+def _planes(turn: int, dim: int) -> np.ndarray:
+    return np.random.default_rng([SEED, turn, dim]).standard_normal((dim, 64))
+
+
+def _keys(first: int, last: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         weights = np.uint64(1) << np.arange(64, dtype=np.uint64)[::-1]
@@ -71,9 +81,9 @@ def _keys(passes: int):
                 rows = np.flatnonzero(sizes == dim)
                 x = flat[starts[rows][:, None] + np.arange(dim)]
                 own = nodes.take(pa.array(rows))
-                for p in range(passes):
+                for p in range(first, last):
                     if (p, dim) not in planes:
-                        planes[p, dim] = np.random.default_rng([SEED, p, dim]).standard_normal((dim, 64))
+                        planes[p, dim] = _planes(p, dim)
                     signs = (x @ planes[p, dim] > 0).astype(np.uint64)
                     key = (signs * weights).sum(axis=1, dtype=np.uint64) ^ np.uint64(1 << 63)
                     fixed = [pa.array(np.full(len(rows), v, np.int32)) for v in (p, dim)]
@@ -90,12 +100,53 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n = b.num_rows
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(3), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))],
-            names=["pass", "node", "part", "place"],
+            [*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))],
+            names=["pass", "dim", "key", "node", "part", "place"],
         )
         at += n
 
 
+def hit_chance(unit: np.ndarray, planes: np.ndarray, signs: np.ndarray, threshold: float) -> np.ndarray:
+    """Chance that a neighbour at the threshold, in a random direction, shares the first ``signs`` signs of each vector of length 1."""
+    most = min(64, int(signs.max(initial=0)))
+    planes = planes[:, :most]
+    off = np.abs(unit @ planes)
+    along = np.sqrt(np.maximum((planes * planes).sum(0) - off * off, 1e-18))
+    z = threshold * off / along * math.sqrt(max(unit.shape[1] - 1, 1) / max(1 - threshold * threshold, 1e-12))
+    t = 1 / (1 + 0.3275911 * np.abs(z) / math.sqrt(2))  # normal distribution, Abramowitz and Stegun 7.1.26
+    tail = 0.5 * np.exp(-z * z / 2) * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    share = np.cumprod(np.where(z < 0, tail, 1 - tail), axis=1)
+    # No key has more than 64 signs: a vector among too many of one key meets nobody surely.
+    share = np.concatenate([np.ones((len(unit), 1)), share, np.zeros((len(unit), 1))], axis=1)
+    return np.where(signs > 64, 0.0, share[np.arange(len(unit)), np.minimum(signs, most)])
+
+
+def _missed(first: int, threshold: float):
+    """Adds to ``log`` the logarithms of the chances that passes from ``first`` on miss a vector's neighbour."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            vectors, n = batch.column(1), batch.num_rows
+            log = batch.column(2).to_numpy().copy()
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            signs = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            sizes = np.diff(vectors.offsets.to_numpy())
+            starts = np.cumsum(sizes) - sizes
+            for dim in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == dim)
+                x = flat[starts[rows][:, None] + np.arange(dim)]
+                x /= np.sqrt((x * x).sum(1))[:, None]
+                for k in range(signs.shape[1]):
+                    if (first + k, dim) not in planes:
+                        planes[first + k, dim] = _planes(first + k, dim)
+                    hit = hit_chance(x, planes[first + k, dim], signs[rows, k], threshold)
+                    log[rows] += np.log(np.maximum(1 - hit, 1e-300))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors, pa.array(log)], names=["node", "vec", "log"])
+
+    return run
+
+
 class _Group:
     """Rows of one group: vectors scaled to length 1, by block."""
 
@@ -108,7 +159,14 @@ class _Group:
         self.flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         self.start = np.cumsum(self.size) - self.size
         spots = rows["blocks"].combine_chunks()
-        self.spots = spots.flatten().to_numpy(zero_copy_only=False).reshape(len(self.node), -1)
+        turns = np.diff(spots.offsets.to_numpy())
+        self.spots = np.full((len(self.node), turns.max(initial=0)), ABSENT, np.int64)
+        self.spots[np.arange(self.spots.shape[1]) < turns[:, None]] = spots.flatten().to_numpy(zero_copy_only=False)
+
+    def met(self, a: np.ndarray, b: np.ndarray, turns: int | None = None) -> np.ndarray:
+        """Whether a window of the first ``turns`` passes (all if not given) holds both rows."""
+        x, y = self.spots[a, :turns], self.spots[b, :turns]
+        return ((np.abs(x - y) <= REACH) & (x != ABSENT)).any(axis=1)
 
     def links(self, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers (of a, of b) of all pairs at the threshold."""
@@ -199,7 +257,7 @@ def _compare(threshold: float):
                 if (g.block[y] == block + REACH).any():
                     going.append(block)
                 if turn and len(x):
-                    before = (np.abs(g.spots[x, :turn] - g.spots[y, :turn]) <= REACH).any(axis=1)
+                    before = g.met(x, y, turn)
                     x, y = x[~before], y[~before]
                 np.add.at(degree, x, g.copies[y])
                 np.add.at(degree, y, g.copies[x])
@@ -224,13 +282,67 @@ def _compare_far(threshold: float):
             x, y = g.links(np.flatnonzero(g.block == first), np.flatnonzero(g.block == second), threshold)
             if len(x):
                 yield _result("open", [first], [turn], [second])
-                new = ~(np.abs(g.spots[x] - g.spots[y]) <= REACH).any(axis=1)
+                new = ~g.met(x, y)
                 x, y = g.node[x[new]], g.node[y[new]]
                 yield _result("pair", np.minimum(x, y), np.maximum(x, y), np.zeros(len(x), np.int64))
 
     return run
 
 
+def _compare_all(threshold: float, turns: int):
+    """Two squares of the vectors that are compared with each other: degrees and a forest of links that no pass holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (first, second), rows in _groups(batches, ["first", "second"]):
+            g = _Group(rows)
+            a, b = np.flatnonzero(g.block == first), np.flatnonzero(g.block == second)
+            all_x, all_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at in range(0, len(a), BLOCK):
+                x, y = g.links(a[at : at + BLOCK], b, threshold)
+                new = ~g.met(x, y, turns)
+                if first == second:
+                    new &= y > x
+                all_x.append(x[new])
+                all_y.append(y[new])
+            x, y = np.concatenate(all_x), np.concatenate(all_y)
+            degree = np.zeros(len(g.node), np.int64)
+            np.add.at(degree, x, g.copies[y])
+            np.add.at(degree, y, g.copies[x])
+            some = np.flatnonzero(degree)
+            yield _result("degree", g.node[some], g.node[some], degree[some])
+            s, t = _forest(x, y, len(g.node))
+            yield _result("edge", g.node[s], g.node[t], np.zeros(len(s), np.int64))
+
+    return run
+
+
+def _lead(column):
+    """Leading signs that decide between a row's key and the key ``column``; none if that is of other vectors or missing."""
+    apart = F.col("key").bitwiseXOR(column["key"])
+    shared = F.when(apart == 0, 64).otherwise(64 - F.length(F.bin(apart)))
+    return F.when(column["dim"] == F.col("dim"), 1 + shared).otherwise(0)
+
+
+def _spots(vectors: DataFrame, first: int, last: int, stash: Stash) -> DataFrame:
+    """node and s, the block of each pass with the number of leading signs which lead into its window."""
+    keyed = vectors.select("node", "vec").mapInArrow(_keys(first, last), "pass int, dim int, key long, node long")
+    order = ["pass", "dim", "key", "node"]
+    placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stash.put(placed.mapInArrow(_numbered, "pass int, dim int, key long, node long, part int, place long"), f"placed{first}")
+    parts = placed.groupBy("pass", "part").agg(F.count(F.lit(1)).alias("rows"))
+    earlier = W.partitionBy("pass").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("pass", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("begin"))
+    spot = F.floor((F.col("begin") + F.col("place")) / BLOCK).cast("int")
+    placed = placed.join(parts, ["pass", "part"]).select("pass", "dim", "key", "node", spot.alias("block"))
+    end = F.struct("dim", "key")
+    ends = stash.put(placed.groupBy("pass", "block").agg(F.min(end).alias("low"), F.max(end).alias("high")), f"ends{first}")
+    for side, step in (("low", -REACH - 1), ("high", REACH + 1)):
+        placed = placed.join(ends.select("pass", (F.col("block") + step).alias("block"), side), ["pass", "block"], "left")
+    signs = F.greatest(_lead(F.col("low")), _lead(F.col("high"))).cast("int")
+    spots = placed.select("node", F.struct("pass", "block", signs.alias("signs")).alias("s"))
+    return stash.put(spots.groupBy("node").agg(F.sort_array(F.collect_list("s")).alias("s")), f"spots{first}")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -240,26 +352,48 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     given = given.withColumn("ok", usable(F.col("vec")) & F.col("vec_id").isNotNull())
     reps = given.filter("ok").groupBy("vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     reps = stash.put(reps.groupBy("node", "vec").agg(F.sum("copies").alias("copies")), "reps")
-    turns = passes or passes_for(reps.count(), threshold)
-
-    keyed = reps.select("node", "vec").mapInArrow(_keys(turns), "pass int, dim int, key long, node long")
-    order = ["pass", "dim", "key", "node"]
-    placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = stash.put(placed.mapInArrow(_numbered, "pass int, node long, part int, place long"), "placed")
-    parts = placed.groupBy("pass", "part").agg(F.count(F.lit(1)).alias("rows"))
-    earlier = W.partitionBy("pass").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select("pass", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("begin"))
-    spot = F.floor((F.col("begin") + F.col("place")) / BLOCK).cast("int")
-    spots = placed.join(parts, ["pass", "part"]).select("node", F.struct("pass", spot.alias("block")).alias("s"))
-    spots = spots.groupBy("node").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    count = reps.count()
+    turns = passes or passes_for(count, threshold)
+
+    # Further passes hold the vectors only whose neighbours the earlier ones would miss, so a vector takes part in
+    # the first passes up to its last one.
+    left = reps.select("node", "vec", F.lit(0.0).alias("log"))
+    found, first, rest = [], 0, None
+    while True:
+        found.append(_spots(left, first, turns, stash))
+        if passes:
+            break
+        left = left.join(found[-1].select("node", F.col("s.signs").alias("signs")), "node").select("node", "vec", "log", "signs")
+        left = left.mapInArrow(_missed(first, threshold), "node long, vec array<float>, log double").filter(F.col("log") > math.log(MISS))
+        left = stash.put(left, f"left{turns}")
+        count, log = left.agg(F.count(F.lit(1)), F.percentile_approx("log", 0.5)).first()
+        if not count:
+            break
+        more = max(2, math.ceil(turns * (math.log(MISS) / min(log, -1e-9) - 1)))
+        if count <= more * BLOCK * (2 * REACH + 1):
+            rest = left.select("node", F.array(F.struct(F.lit(turns).alias("pass"), F.lit(0).alias("block"), F.lit(0).alias("signs"))).alias("s"))
+            break
+        first, turns = turns, turns + min(more, turns)
+    spots = found[0]
+    for more_spots in [*found[1:], *([] if rest is None else [rest])]:
+        spots = spots.unionByName(more_spots)
+    spots = spots.groupBy("node").agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("s"))
     rows = stash.put(reps.join(spots.select("node", F.col("s.block").alias("blocks")), "node"), "rows")
 
-    each = rows.select("node", "copies", "vec", "blocks", F.posexplode("blocks").alias("pass", "block"))
+    each = rows.select("node", "copies", "vec", "blocks", F.posexplode("blocks").alias("pass", "block")).filter(F.col("pass") < turns)
     own = F.floor(F.col("block") / HOME).cast("int")
     before = F.floor((F.col("block") - REACH) / HOME).cast("int")
     homes = F.when((before < own) & (before >= 0), F.array(own, before)).otherwise(F.array(own))
     grouped = each.withColumn("home", F.explode(homes)).repartition("pass", "home").sortWithinPartitions("pass", "home", "block", "node")
     result = stash.put(grouped.mapInArrow(_compare(threshold), RESULT), "windows")
+    if rest is not None:
+        n = max(1, -(-count // (BLOCK * HOME)))
+        own, other = F.col("block"), F.col("other")
+        square = rows.filter(F.size("blocks") > turns).withColumn("block", F.pmod(F.xxhash64("node"), F.lit(n)).cast("int"))
+        square = square.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        square = square.select("node", "copies", "vec", "blocks", "block", F.least(own, other).alias("first"), F.greatest(own, other).alias("second"))
+        square = square.repartition("first", "second").sortWithinPartitions("first", "second", "block", "node")
+        result = result.unionByName(stash.put(square.mapInArrow(_compare_all(threshold, turns), RESULT), "squares"))
 
     pairs = spark.createDataFrame([], RESULT)
     going = result.filter("kind = 'open'").select(F.col("a").cast("int").alias("first"), F.col("b").cast("int").alias("pass")).distinct()

@@ -77,3 +77,35 @@ def test_passes_grow_with_the_number_of_vectors():
 def test_forest_spans(a, b):
     left, right = ed._forest(np.array(a), np.array(b), 4)
     assert len(left) == len(right) == 3
+
+
+def cone(seed, n, pairs, dim=32):
+    """Two thirds of n rows in all directions, a third at mutual cosine 0.75 around one, with pairs at cosine 0.901 among these."""
+    rng = np.random.default_rng(seed)
+    centre = np.eye(dim)[0]
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((n // 3 - pairs, dim))
+    side[:, 0] = 0
+    x = np.sqrt(0.75) * centre + np.sqrt(0.25) * unit(side)
+    turn = rng.standard_normal((pairs, dim))
+    turn[:, 0] = 0
+    own = x[:pairs]
+    turn = unit(turn - (turn * own).sum(1, keepdims=True) * own)
+    y = 0.901 * own + np.sqrt(1 - 0.901**2) * turn
+    return np.concatenate([x, y, unit(rng.standard_normal((n - n // 3, dim)))]).astype(np.float32)
+
+
+@pytest.mark.parametrize("block", [8, 64])
+def test_links_inside_a_dense_topic_are_found(spark, monkeypatch, block):
+    monkeypatch.setattr(ed, "BLOCK", block)
+    n, pairs = 6000, 900
+    x = cone(5, n, pairs)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ed.near_duplicates(df).collect()}
+    x = x.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= ed.THRESHOLD).sum(1) - 1
+    assert len(got) == n and all(got[i][0] <= want[i] for i in range(n))
+    # The model allows 0.005; three standard deviations more for chance.
+    missed = 1 - sum(k for k, _ in got.values()) / want.sum()
+    assert want.sum() >= 2 * pairs and missed <= ed.MISS + 3 * (ed.MISS / pairs) ** 0.5, missed
