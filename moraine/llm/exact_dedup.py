@@ -49,10 +49,14 @@ class DigestIndex:
         )
 
 
+def _digest():
+    text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id and the SHA-256 of the text with A-Z lower-cased."""
-    text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
@@ -92,9 +96,14 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    gone = deduplicate(docs, index).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that stay, with all their columns; an id that loses with one text keeps its other texts.
+
+    Rows with a null doc_id can't be named and all stay here.
+    """
+    gone = deduplicate(docs, index).filter(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("_lost_id"), F.unhex("text_sha256").alias("_lost")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("_lost_id")) & (F.col("_own") == F.col("_lost"))
+    return docs.withColumn("_own", _digest()).join(gone.hint("merge"), same, "left_anti").select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

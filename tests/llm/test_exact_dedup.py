@@ -60,3 +60,8 @@ def test_keep_first_returns_the_columns_of_docs(spark):
     kept = ed.keep_first(given)
     assert kept.columns == given.columns
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 2, 3]
+
+
+def test_keep_first_keeps_other_texts_of_a_losing_id(spark):
+    kept = ed.keep_first(docs(spark, [(1, "a"), (2, "A"), (1, "unique"), (3, "b")]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, "unique"), (2, "A"), (3, "b")]
