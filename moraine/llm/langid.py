@@ -6,8 +6,8 @@ everything else one space), as shares of the text's n-grams, so any text length
 A score is the mean of a weight table over a text's n-grams; whole texts are scored in blocks.
 
 Training takes a bounded sample: at most about PER_LANGUAGE documents of each label, chosen by a hash of
-the id among the documents whose crc32(doc_id) mod 4 is not 2, of at most SAMPLE_BYTES in all per
-label. Prediction uses the text alone.
+the id among the documents whose crc32(doc_id) mod 4 is not 2, of about SAMPLE_BYTES in all per
+label, but the FEW of lowest hash in any case, so that no label is left out. Prediction uses the text alone.
 
 Defined cases: null text and text without a letter give ``und`` and score 0; null labels and null
 ids are never learned from; with no labelled row, every text with a letter is ``und`` too; with one
@@ -24,12 +24,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ship, spread
 
 #: Rows of each label to learn from, and bytes of their texts.
 PER_LANGUAGE, SAMPLE_BYTES = 400, 4 << 20
+#: Rows of each label that are learned from however long they are, and the expected rows of a sample that surely holds as many.
+FEW, SURE = 3, 50
 BITS, ORDERS = 16, (1, 2, 3, 4)
 UND = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -198,11 +201,18 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most_byte
     rows = rows.filter(_remainder() != 2).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     chance = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"), F.lit(float(most_bytes)) / F.greatest("bytes", F.lit(1)))
-    share = counts.select("lang", chance.alias("chance")).collect()  # one row per language
+    share = counts.select("lang", "n", chance.alias("chance")).collect()  # one row per language
     spot = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     wanted = F.lit(False)
     for r in share:
         wanted = wanted | ((F.col("lang") == r["lang"]) & (spot < r["chance"]))
+    unsure = [r["lang"] for r in share if r["chance"] < 1 and r["n"] * r["chance"] < SURE]
+    if unsure:
+        body = F.xxhash64("text")
+        least = rows.filter(F.col("lang").isin(unsure)).select("lang", spot.alias("spot"), body.alias("body"))
+        least = least.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("spot", "body"))).filter(F.col("r") <= FEW)
+        for r in least.collect():
+            wanted = wanted | ((F.col("lang") == r["lang"]) & (spot == r["spot"]) & (body == r["body"]))
     got = rows.filter(wanted).select("lang", "text", "doc_id").collect()
     return [(r["lang"], r["text"].encode()) for r in sorted(got, key=lambda r: (r["doc_id"], r["lang"], r["text"]))]
 

@@ -72,3 +72,12 @@ def test_unknown_languages_are_families_of_their_own():
     model = langid.fit([("xx", b"qqq www zzz " * 9), ("yy", b"mmm nnn ooo " * 9), ("en", b"the and of to " * 9)] * 4)
     assert sorted(model.families) == [("en",), ("xx",), ("yy",)]
     assert [x for x, _ in model.predict([b"qqq zzz", b"nnn mmm", b"of the"])] == ["xx", "yy", "en"]
+
+
+def test_no_label_is_left_out_of_the_sample(spark):
+    rows = [(i, "word " * 200, "en") for i in range(100)] + [(1000 + i, f"ord {i} " * 2000, "sv") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.training_sample(df, most_bytes=500)
+    assert {lang for lang, _ in sample} == {"en", "sv"}
+    assert sum(lang == "sv" for lang, _ in sample) == langid.FEW
+    assert langid.learn(df).languages == ["en", "sv"]
