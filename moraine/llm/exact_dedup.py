@@ -7,8 +7,9 @@ read once.
 
 Defined cases: a null text counts as empty; rows with a null doc_id belong to their group and
 are kept only if no row of the group has an id (keep_id is then null and all of them stay, as
-none can be named); rows that repeat the winner's doc_id all stay; an empty table gives an empty
-result; further columns of the input are ignored.
+none can be named); rows that repeat the winner's doc_id all stay; an id that stands for several texts
+wins or loses with each of them by itself; an empty table gives an empty result; further columns of the
+input are ignored, by ``keep_first`` returned as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, lower_ascii, shared_dir
+from .common import Stash, join_counted, lower_ascii, shared_dir, without
 
 INDEX_SCHEMA = "digest BINARY, keep_id BIGINT"
-#: A digest with at least 1/HEAVY_SHARE of the rows is heavy: there are at most so many of them.
-HEAVY_SHARE = 4000
+#: Rows of a new index that a bucket is to hold at most, and the bounds of the number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 4_000_000, 64, 16_384
 
 
 class DigestIndex:
@@ -48,6 +49,15 @@ class DigestIndex:
             .option("path", self.path).saveAsTable(self.name)
         )
 
+    def forget(self) -> None:
+        """Take the name out of the catalog; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def buckets_for(rows: int) -> int:
+    """A power of two that keeps buckets at BUCKET_ROWS digests, as the index outlives the batch that makes it."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, (rows // BUCKET_ROWS).bit_length())))
+
 
 def _digest():
     text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
@@ -73,19 +83,13 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
         "winners",
     )
     rows = hashed.count()
-    if index is None:
-        index = DigestIndex(spark, shared_dir(spark))
-    index.append(winners)
-    final = winners.drop("keep_id").join(index.table().hint("merge"), "digest")
-
-    # Rows of heavy digests find their few winners by a broadcast of at most HEAVY_SHARE rows, the
-    # others by a sort-merge join in which no digest has more rows than that share.
-    bound = max(1000, -(-rows // HEAVY_SHARE))
-    heavy = final.filter(F.col("group_size") >= bound)
-    light = final.filter(F.col("group_size") < bound)
-    out = hashed.join(F.broadcast(heavy), "digest").unionByName(
-        hashed.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(light.hint("merge"), "digest")
-    )
+    own = index or DigestIndex(spark, shared_dir(spark), buckets=buckets_for(rows))
+    own.append(winners)
+    final = winners.drop("keep_id").join(own.table().hint("merge"), "digest")
+    if index is None:  # an index of one call: what it says is written, and its name leaves the catalog
+        final = stash.put(final, "final")
+        own.forget()
+    out = join_counted(hashed, final, ["digest"], rows, "group_size")
     return out.select(
         "doc_id",
         "keep_id",
@@ -96,14 +100,11 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The documents that stay, with all their columns; an id that loses with one text keeps its other texts.
-
-    Rows with a null doc_id can't be named and all stay here.
-    """
+    """The rows that ``deduplicate`` keeps, with all their columns."""
     gone = deduplicate(docs, index).filter(~F.col("kept"))
-    gone = gone.select(F.col("doc_id").alias("_lost_id"), F.unhex("text_sha256").alias("_lost")).distinct()
-    same = (F.col("doc_id").cast("long") == F.col("_lost_id")) & (F.col("_own") == F.col("_lost"))
-    return docs.withColumn("_own", _digest()).join(gone.hint("merge"), same, "left_anti").select(*docs.columns)
+    gone = gone.select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")).distinct()
+    gone = Stash(docs.sparkSession).put(gone, "gone")
+    return without(docs, gone, {"id": F.col("doc_id").cast("long"), "digest": _digest()}, "id")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

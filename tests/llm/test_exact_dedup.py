@@ -59,7 +59,7 @@ def test_keep_first_returns_the_columns_of_docs(spark):
     given = docs(spark, [(1, "a"), (2, "a"), (None, "a"), (None, "z"), (3, "b")])
     kept = ed.keep_first(given)
     assert kept.columns == given.columns
-    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 2, 3]
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == [(-1, "z"), (2, "a"), (3, "b")]
 
 
 def test_keep_first_keeps_other_texts_of_a_losing_id(spark):
