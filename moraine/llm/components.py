@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star rounds.
 
 Each round is two aggregations and two joins on node ids; a hub with many links is pre-aggregated
-before the shuffle, and its join partition may be split by adaptive execution. Rounds are written
+before the shuffle, and its links meet their least node by a broadcast of the few heavy hubs. Rounds are written
 to the shared folder, which cuts the lineage.
 """
 
@@ -10,20 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, join_counted
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """edges with m, the least v of each u."""
+    return join_counted(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), ["u"], rows)
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, 2 * rows).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    moved = _with_least(down, rows).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(down.groupBy("u").agg(F.min("v").alias("v")))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -37,7 +40,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen, n = state, n + 1
-        edges = stash.put(_small_star(_large_star(edges)).filter("u != v").distinct(), f"round{n}")
-        stash.drop(f"round{n - 1}")
+        large = stash.put(_large_star(edges, state[0]), f"large{n}")
+        edges = stash.put(_small_star(large, state[0]).filter("u != v").distinct(), f"round{n}")
+        stash.drop(f"round{n - 1}", f"large{n}")
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

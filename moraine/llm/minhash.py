@@ -8,16 +8,18 @@ sets need one or two rounds instead of K hashes per element, and the estimate of
 has Chernoff-like concentration.
 
 B bands of R coordinates give candidate buckets. At similarity 0.75, R = 4 and B = 32 miss a pair
-with probability (1 - 0.75**4)**32 = 5e-6. Equal sets are first collapsed to one representative
-(the smallest doc_id), so copies meet in no bucket. In a bucket every member is paired with its hub (a star,
-linear in the bucket): the representative that meets most others over all its buckets, which in a group of
-near copies is the one most like the rest. Pairs are confirmed on the full sets and links become components. Documents of buckets that still hold several components go through an exact prefix-filter
-join across components, so no link is lost to the star.
+with probability (1 - 0.75**4)**32 = 5e-6. Equal sets are first collapsed to one numbered class, so copies
+meet in no bucket. In a bucket every class is paired with its hub (a star, linear in the bucket): the one that
+meets most others over all its buckets, which in a group of near copies is the one most like the rest. Pairs
+are confirmed on the full sets and links become components. Classes of buckets that still hold several components
+go through an exact prefix-filter join across components, so no link is lost to the star. Keys that many rows
+share (the hub of a large star, a common shingle) are dealt over blocks of about SQUARE rows.
 
 Defined cases: null text and text without words give the empty set, linked with nothing; a row with
-a null doc_id has its n_shingles, component_id null and kept true; repeated rows share the result;
-ids are taken to name one text: rows with one doc_id and different texts keep their own n_shingles, but
-links are sought for one of these texts only; further columns are ignored; empty tables give empty results.
+a null doc_id has its n_shingles, component_id null and kept true, and links nothing; repeated rows share the
+result; rows with one doc_id and different texts are documents of their own with the same id, each with its own
+links; further columns are ignored, by ``keep_representatives`` returned as they are, whatever their names;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, mix64, ship
+from .common import Stash, join_counted, mix64, ship, without
 from .components import connected_components
 
 WORDS = 5
@@ -37,6 +39,8 @@ BINS, ROWS = 128, 4
 SEED = 0x5EED
 BLOCK = 4 << 20
 SEGMENT = 1 << 20
+#: Rows of one key that a block holds where a key is split.
+SQUARE = 1024
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -175,12 +179,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(at, len(texts)),
+                    batch.column(2).slice(at, len(texts)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([int(mix64(s ^ MIX[9]).sum().view(np.int64)) for s in sets], pa.int64()),
                     pa.array([int(mix64(s ^ MIX[10]).sum().view(np.int64)) for s in sets], pa.int64()),
                     _lists([k.view(np.uint64) if f else np.zeros(0, np.uint64) for k, f in zip(keys, full, strict=True)]),
                 ],
-                names=["doc_id", "n_shingles", "key_a", "key_b", "bands"],
+                names=["doc_id", "body", "n_shingles", "key_a", "key_b", "bands"],
             )
 
 
@@ -194,14 +199,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets overlap enough; the hub of a star is joined last.
+    """Those of pairs(a, b, blocks) whose full sets overlap enough.
 
-    Sets are never broadcast and neither are pairs, so the plan and what it moves per row are alike at every size.
+    ``blocks`` says over how many blocks the partners of an a are dealt: its set is copied to each of them, so the star
+    of a large hub is no single key. Sets are never broadcast and neither are pairs, so the plan and what it moves per
+    row are alike at every size.
     """
     left = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+    copies = pairs.groupBy("a").agg(F.max("blocks").alias("most"))
+    right = sets.join(copies.hint("merge"), F.col("node") == F.col("a"))
+    right = right.select("a", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("block"), F.col("shingles").alias("set_a"))
     common = F.size(F.array_intersect("set_a", "set_b"))
-    joined = pairs.join(left.hint("merge"), "b").join(right.hint("merge"), "a")
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+    joined = dealt.join(left.hint("merge"), "b").join(right.hint("merge"), ["a", "block"])
     return (
         joined.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("both"))
         .filter(100 * F.col("common") >= percent * (F.col("both") - F.col("common")))
@@ -209,50 +219,70 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _across(sets: DataFrame, percent: int, stash: Stash) -> DataFrame:
-    """Pairs (a, b) of sets(node, component, shingles) in different components that may reach the similarity.
+def _blocks(rows):
+    """Over how many blocks a key with so many rows is dealt."""
+    return F.ceil(rows / SQUARE).cast("long")
+
 
-    Prefix and positional filtering, which are exact: with shingles ordered from the rarest on, two such sets
-    share one of their first n - ceil(percent / 100 * n) + 1 shingles, and from their first common one
-    on, both have as many left as they must share. A passage that many documents share stands last in that
-    order, so it brings no pairs unless it makes up most of the texts; neither do copies of one text that each
-    have too many shingles of their own.
+def _across(sets: DataFrame, percent: int, stash: Stash) -> DataFrame:
+    """Pairs (a, b, blocks) of sets(node, component, shingles) in different components that may reach the similarity.
+
+    Prefix and positional filtering, which are exact: with shingles ordered from the rarest on, the smaller of two
+    such sets of n and m shingles shares one of its first n - ceil(2 percent / (100 + percent) * n) + 1 with the first
+    m - ceil(percent / 100 * m) + 1 of the larger, and from their first common one on, both have as many left as they
+    must share. A passage that many documents share stands last in that order, so it brings no pairs unless it
+    makes up most of the smaller text; neither do copies of one text that each have too many shingles of their own.
+    A shingle that many sets share is dealt over a square of blocks.
     """
     each = sets.select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    rarity = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"))
-    ranked = each.join(rarity, "shingle").groupBy("node", "component", "n")
+    rarity = stash.put(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs")), "rarity")
+    rows = rarity.agg(F.sum("docs")).first()[0] or 0
+    ranked = join_counted(each, rarity, ["shingle"], rows, "docs").groupBy("node", "component", "n")
     ranked = ranked.agg(F.sort_array(F.collect_list(F.struct("docs", "shingle"))).alias("all"))
     first = F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
     heads = ranked.select("node", "component", "n", F.posexplode(first).alias("place", "x")).filter("x.docs > 1")
-    heads = heads.select("node", "component", "n", (F.col("n") - F.col("place")).alias("left"), F.col("x.shingle").alias("shingle"))
+    left = F.col("n") - F.col("place")
+    short = (100 + percent) * left >= 2 * percent * F.col("n")
+    heads = heads.select("node", "component", "n", left.alias("left"), short.alias("short"), F.col("x.shingle").alias("shingle"))
     heads = stash.put(heads, "heads")
-    several = heads.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-    heads = heads.join(several.select("shingle"), "shingle", "left_semi")
-    one, two = (
-        heads.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "component", "left")], F.col("node").alias(x)) for x in "ab"
+    several = heads.groupBy("shingle").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("all"), F.max("short").alias("short")
     )
-    pairs = one.join(two, "shingle").filter(
-        (F.col("a") < F.col("b"))
-        & (F.col("component_a") != F.col("component_b"))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & ((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b")))
+    several = stash.put(several.filter("x != y AND short").select("shingle", "all"), "several")
+    rows = several.agg(F.sum("all")).first()[0] or 0
+    heads = join_counted(heads, several, ["shingle"], rows, "all").withColumn("blocks", _blocks(F.col("all")))
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    values = ("n", "component", "left")
+    one = heads.filter("short").select("shingle", "blocks", own.alias("i"), other.alias("j"), F.col("node").alias("x"), *[F.col(c).alias(f"{c}_x") for c in values])
+    two = heads.select("shingle", other.alias("i"), own.alias("j"), F.col("node").alias("y"), *[F.col(c).alias(f"{c}_y") for c in values])
+    pairs = one.join(two, ["shingle", "i", "j"]).filter(
+        ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y"))))
+        & (F.col("component_x") != F.col("component_y"))
+        & (100 * F.col("n_x") >= percent * F.col("n_y"))
+        & ((100 + percent) * F.least("left_x", "left_y") >= percent * (F.col("n_x") + F.col("n_y")))
     )
-    return pairs.select("a", "b").distinct()
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "blocks").groupBy("a", "b").agg(F.max("blocks").alias("blocks"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept. Links need 100 |A & B| >= percent |A or B|."""
+def _body(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def decide(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row per document: doc_id, body (a hash of the text, which tells rows of one id apart), n_shingles, component_id, kept."""
     spark = docs.sparkSession
     ship(spark)
     stash = Stash(spark)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = given.mapInArrow(_signatures, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _body(F.col("text")).alias("body"))
+    signed = given.mapInArrow(_signatures, "doc_id long, body long, n_shingles long, key_a long, key_b long, bands array<long>")
     signed = stash.put(signed, "signatures")
     keys = ["n_shingles", "key_a", "key_b"]
-    reps = signed.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("node"))
-    reps = stash.put(reps, "reps")
-    sets = signed.join(reps.select(F.col("node").alias("doc_id"), *keys), ["doc_id", *keys], "left_semi")
-    banded = sets.select(F.col("doc_id").alias("node"), "n_shingles", F.explode("bands").alias("bucket"))
+    reps = signed.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*keys)
+    reps = reps.agg(F.min("doc_id").alias("id"), F.min_by("body", "doc_id").alias("body"), F.count(F.lit(1)).alias("copies"))
+    reps = stash.put(reps.withColumn("node", F.monotonically_increasing_id()), "reps")  # numbered once, then read
+    one = reps.select("node", F.col("id").alias("doc_id"), "body", *keys)
+    banded = signed.join(one, ["doc_id", "body", *keys]).dropDuplicates(["doc_id", "body", *keys, "node"])
+    banded = banded.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("members"))
     met = stash.put(banded.join(buckets.filter("x != y").drop("x", "y"), "bucket"), "met")
     weight = met.groupBy("node").agg(F.sum("members").alias("weight"))
@@ -263,42 +293,52 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     # Sets whose sizes differ too much can't be alike enough.
     alike = 100 * F.least("n_shingles", "hub_n") >= percent * F.greatest("n_shingles", "hub_n")
-    stars = members.filter(F.col("node") != F.col("hub")).filter(alike).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = members.filter(F.col("node") != F.col("hub")).filter(alike)
+    stars = stars.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(_blocks(F.max("members")).alias("blocks"))
     stars = stash.put(stars, "stars")
-    nodes = met.select(F.col("node").alias("doc_id")).distinct()
-    # The texts are shuffled once; rows of one id lie together then.
-    texts = given.join(nodes.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    full = stash.put(texts.mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+    nodes = met.select("node").distinct().join(one.select("node", "doc_id", "body"), "node")
+    # The texts are shuffled once; equal rows lie together then.
+    texts = given.join(nodes.hint("merge"), ["doc_id", "body"]).dropDuplicates(["doc_id", "body", "node"])
+    full = stash.put(texts.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
     links = stash.put(_confirmed(stars, full, percent), "links1")
     found = connected_components(links)
 
-    # A star finds its hub's links only. Documents of buckets that still hold several components go
+    # A star finds its hub's links only. Classes of buckets that still hold several components go
     # through an exact join across components.
     open_ = members.filter("members > 2").join(found, "node", "left")
     open_ = open_.select("bucket", "node", F.coalesce("component", "node").alias("component"))
     several = open_.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
     open_ = open_.join(several.select("bucket"), "bucket", "left_semi").select("node", "component").distinct()
     open_ = stash.put(open_, "open")
-    across = _across(full.join(open_, "node"), percent, stash).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    across = _across(full.join(open_, "node"), percent, stash).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = stash.put(_confirmed(across, full, percent), "links2")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
 
-    classes = reps.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id"))
-    out = signed.drop("bands").join(classes, keys, "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        own.alias("component_id"),
-        F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"),
-    )
+    # A component bears the smallest id of its classes; those without a link keep their own.
+    linked = stash.put(reps.select("node", "id").join(found, "node"), "linked")
+    least = stash.put(linked.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    named = join_counted(linked, least, ["component"], linked.count()).select("node", "component_id")
+    classes = reps.join(named, "node", "left").select(*keys, "copies", F.coalesce("component_id", "id").alias("component_id"))
+    classes = stash.put(classes, "classes")
+    stash.drop("met", "members", "stars", "sets", "links1", "open", "rarity", "heads", "several", "links2", "linked", "least", "reps")
+    linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    slim = signed.drop("bands")
+    out = join_counted(slim.filter(linkable), classes, keys, slim.count(), "copies").select("doc_id", "body", "n_shingles", "component_id")
+    alone = slim.filter(~linkable).select("doc_id", "body", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. Links need 100 |A & B| >= percent |A or B|."""
+    return decide(docs, percent).drop("body")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group of near copies, with all their columns."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows that ``near_duplicates`` keeps, with all their columns."""
+    gone = decide(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("id"), "body").distinct()
+    gone = Stash(docs.sparkSession).put(gone, "gone")
+    return without(docs, gone, {"id": F.col("doc_id").cast("long"), "body": _body(F.col("text"))}, "id")
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
