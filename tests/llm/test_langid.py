@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -60,6 +61,67 @@ def test_odd_texts(spark, model):
     assert kept.columns == df.columns
 
 
+def plain_scores(model, text):
+    """One decision after the other, one n-gram after the other."""
+    folded = [x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in text] + [32] * 3
+    out = [0.0] * len(model.decisions)
+    for at in range(len(text)):
+        code = 0
+        for k in range(4):
+            code = code << 8 | folded[at + k]
+            h = code * (0x9E3779B97F4A7C15 + 2 * k) % 2**64
+            spot = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64 >> 64 - model.bits
+            for d in range(len(out)):
+                out[d] += float(model.weights[d, k, spot])
+    return [x / max(1, len(text)) for x in out]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 7, 64])
+def test_scores_equal_a_plain_scorer_whatever_the_blocks(model, monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    texts = [t.encode() for t in ("", "a", "Der Hund, die Katze!", "É à ñ 漢字", "the  end of\tthe text " * 5, "xyz", "q" * 129)]
+    got = model.scores(texts)
+    for t, row in zip(texts, got.tolist(), strict=True):
+        assert row == pytest.approx(plain_scores(model, t), abs=1e-5)
+    ids, values = langid.features(texts[2])
+    monkeypatch.setattr(langid, "BLOCK", 1 << 20)
+    whole = langid.features(texts[2])
+    assert ids.tolist() == whole[0].tolist() and values.tolist() == whole[1].tolist()
+
+
+def test_a_long_text_takes_bounded_memory(model):
+    import tracemalloc
+
+    text = b"the quick brown fox and the lazy dog " * 1_400_000
+    tracemalloc.start()
+    label, _ = model.predict([text])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert label == "en" and len(text) > 50_000_000 and peak < 200 << 20
+
+
+def test_many_labels_share_the_bounds():
+    rng = random.Random(1)
+    words = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)) for _ in range(120)]
+    own = langid.fit([(f"l{i:03d}", w.encode()) for i, w in enumerate(words) for _ in range(2)])
+    assert own.weights.nbytes <= langid.MODEL_BYTES and own.bits < langid.BITS and len(own.families) == 120
+    assert [x for x, _ in own.predict([words[7].encode(), words[99].encode()])] == ["l007", "l099"]
+
+
+def test_too_many_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LABELS", 3)
+    df = spark.createDataFrame([(i, "word", f"l{i}") for i in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="labels"):
+        langid.learn(df)
+
+
+def test_labels_with_long_texts_are_learned(spark):
+    rows = [(i, "the cat and the dog are in the house " * 3, "en") for i in range(56)] + [(100 + i, "der Hund und die Katze sind im Haus " * 130_000, "de") for i in range(4)]
+    own = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert own.languages == ["de", "en"]
+    assert [x for x, _ in own.predict([b"die Katze und der Hund", b"the dog and the cat"])] == ["de", "en"]
+
+
 @pytest.mark.parametrize("labels, want", [([], {"und"}), (["sv"], {"sv"}), ([None], {"und"})])
 def test_few_labels(spark, labels, want):
     rows = [(i, "some words here", lang) for lang in labels for i in range(8)]
