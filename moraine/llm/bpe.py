@@ -9,9 +9,13 @@ ascending rank; all occurrences of a pair are merged at once, the links are mend
 that arise at the seams are entered into the index (and may become active). Words are independent, so
 the global order is each word's own order.
 
+A worker remembers the ids of words it has met, up to a bound in bytes, and takes texts of more than PIECE
+characters in pieces cut at white space.
+
 Defined cases: null text is the empty text with no tokens; special tokens that stand in a text become
-their ids, as the library does; very long texts are cut into chunks like any other; repeated rows,
-extra columns and empty tables need no care, as every row is encoded for itself.
+their ids, as the library does; repeated rows and empty tables need no care, as every row is encoded for itself;
+further columns come back as they are, and where one bears a result's name, that of the result gets an underscore
+behind it.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from .common import ship, spread
+from .common import fresh, ship, spread
 
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 #: Printable ASCII and Latin letters (U+00C0 to U+024F without the two signs, and without U+0130, whose lower
@@ -38,8 +43,10 @@ PLAIN = re.compile(rf"[\x09-\x0d\x20-\x7e{_LETTERS}]*")
 PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 #: The rules for which the above holds.
 WORD_RULES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Words and chunks whose ids a worker remembers, and bytes of text that are encoded together.
-REMEMBERED, BLOCK = 500_000, 4 << 20
+#: Bytes of words, chunks and ids that a worker remembers (with ENTRY for each one's own cost), bytes of text that are
+#: encoded together, and characters of a text that are.
+REMEMBERED, ENTRY, BLOCK, PIECE = 96 << 20, 160, 4 << 20, 2 << 20
+SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 
 def _byte_characters() -> list[str]:
@@ -71,12 +78,32 @@ def cut_text(text: str, special: Iterable[str] | None) -> tuple[list[str], bool]
     return CHUNK.findall(text), False
 
 
-def forget(memory: dict, latest: list[list[str]]) -> None:
-    """Take the latest keys out of a memory that is full: what came first stays, as frequent words come early."""
-    if len(memory) > REMEMBERED:
+def pieces_of(text: str) -> Iterator[str]:
+    """A text in pieces of about PIECE characters, cut at white space, which no word crosses."""
+    at = 0
+    while len(text) - at > PIECE:
+        gap = SPACE.search(text, at + PIECE)
+        if gap is None:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:] if at else text
+
+
+class Memory(dict):
+    """Ids of words and chunks, up to REMEMBERED bytes: what comes first stays, as frequent words come early."""
+
+    held = 0
+
+    def settle(self, *latest: list[str]) -> None:
+        """Count the latest keys, or take them out again where they are too much."""
         for keys in latest:
-            for k in keys:
-                memory.pop(k, None)
+            size = sum(2 * len(k) + len(self[k]) for k in keys) + ENTRY * len(keys)
+            if self.held + size <= REMEMBERED:
+                self.held += size
+            else:
+                for k in keys:
+                    self.pop(k, None)
 
 
 class PairIndexBpe:
@@ -113,7 +140,7 @@ class PairIndexBpe:
         self.byte_of = {c: b for b, c in enumerate(char_of)}
         self.first = np.array([self.vocab[c] for c in char_of], np.int64)
         self.final = np.array([self.vocab[c + self.suffix] for c in char_of], np.int64)
-        self.memory: dict[str, bytes] = {}
+        self.memory = Memory()
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each adjacent pair, -1 where no merge joins it."""
@@ -223,17 +250,23 @@ class PairIndexBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if any(len(t) > PIECE for t in texts):
+            return [b"".join(x for piece in pieces_of(t) for x in self._encode([piece])) for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut, words, chunks, memory = [], set(), set(), self.memory
         for text in texts:
             own, plain = cut_text(text, self.special if self.by_words else None)
             cut.append(own)
             (words if plain else chunks).update(own)
-        words, chunks = [w for w in words if w not in memory], [c for c in chunks if c not in memory]
+        chunks = [c for c in chunks - words if c not in memory]
+        words = [w for w in words if w not in memory]
         normal = [w if w.isascii() else self.normalize(w) for w in words]
         memory.update(zip(words, self._encode_words([w.encode() for w in normal]), strict=True))
         memory.update(zip(chunks, self.encode_chunks(chunks), strict=True))
         out = [b"".join(map(memory.__getitem__, own)) for own in cut]
-        forget(memory, [words, chunks])
+        memory.settle(words, chunks)
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -296,9 +329,10 @@ def _digests(bpe: PairIndexBpe, encoded: list[bytes]) -> list[pa.Array]:
 def _mapped(docs: DataFrame, tokenizer: str | None, keep: list[str], made: str, make) -> DataFrame:
     ship(docs.sparkSession)
     path = tokenizer or default_tokenizer()
-    names = [part.split(" ")[0] for part in made.split(", ")]
     given = docs.select(*[c for c in docs.columns if c in keep or c == "text"])
     kept = [c for c in given.columns if c in keep]
+    added = [T.StructField(fresh(kept, f.name), f.dataType) for f in T.StructType.fromDDL(made).fields]
+    names = [f.name for f in added]
     place = given.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,9 +343,7 @@ def _mapped(docs: DataFrame, tokenizer: str | None, keep: list[str], made: str,
                 columns = own.slice(at, len(texts)).columns
                 yield pa.RecordBatch.from_arrays([*columns, *make(bpe, bpe.encode(texts))], names=[*kept, *names])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([given.schema[c] for c in kept] + list(T.StructType.fromDDL(made).fields))
+    schema = T.StructType([given.schema[c] for c in kept] + added)
     return spread(docs.sparkSession, given).mapInArrow(run, schema)
 
 

@@ -11,7 +11,8 @@ and ssn (which has no checksum and stays only if a context word is near). A span
 kind's prior, raised by CONTEXT words within NEAR characters of the gaps next to it.
 
 Defined cases: null text counts as empty; empty texts have no spans (base_sha256 is then the digest of
-the empty string); repeated rows and null ids are rows like others; further columns are ignored.
+the empty string); repeated rows and null ids are rows like others; further columns come back as they are, and if one
+is named like the result, that gets an underscore behind its name.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 _LOCAL = "[A-Za-z0-9._%+-]"
 # A later start in a run of local characters succeeds only if the run's first start does, where the run
 # begins anew after the last match (\G). The same holds for digit runs and ip.
@@ -35,11 +38,11 @@ BASE = ("email", "ip", "card", "phone")
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
 CONTEXT = {
-    "email": "mail|contact|write|reach",
-    "ip": "address|host|server|login",
-    "card": "card|credit|debit|visa|payment",
-    "phone": "phone|call|tel|mobile|fax",
-    "iban": "iban|account|bank|transfer",
+    "email": "e?mails?|contact|write|reach",
+    "ip": "ip|address|hosts?|servers?|login",
+    "card": "cards?|credit|debit|visa|payments?",
+    "phone": "phones?|telephone|call|tel|mobile|fax",
+    "iban": "iban|accounts?|bank|transfers?",
     "ssn": "ssn|social|security",
 }
 NEAR, BOOST, LEAST = 40, 0.3, 0.5
@@ -108,7 +111,7 @@ def _spans(kind: str, text: Column, matches: Column) -> Column:
         def span(own: Column, i: Column, ends: Column) -> Column:
             start = F.get(ends, i) + F.length(F.get(gaps, i))
             near = F.lower(F.concat(F.right(F.get(gaps, i), F.lit(NEAR)), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(NEAR))))
-            score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT[kind]), BOOST).otherwise(0.0))
+            score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})\b"), BOOST).otherwise(0.0))
             return F.struct(
                 F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(own)).alias("end"), own.alias("text"), score.alias("score")
             )
@@ -126,16 +129,17 @@ SPANS = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """The columns of docs and ``pii``: a struct with an array of spans for each kind."""
+    """The columns of docs and ``pii`` (with underscores, if docs has that): a struct with an array of spans for each kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def matches(kind: str) -> Column:
         found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
         return F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(F.array().cast("array<string>")) if kind in NEEDS else found
 
-    proposed = docs.withColumn("_found", F.struct(*[matches(k).alias(k) for k in PATTERNS]))
-    spans = F.struct(*[_spans(k, text, F.col(f"_found.{k}")).cast(SPANS).alias(k) for k in PATTERNS])
-    return proposed.withColumn("pii", spans).drop("_found")
+    held = fresh(docs.columns, "_found")
+    proposed = docs.withColumn(held, F.struct(*[matches(k).alias(k) for k in PATTERNS]))
+    spans = F.struct(*[_spans(k, text, F.col(f"{held}.{k}")).cast(SPANS).alias(k) for k in PATTERNS])
+    return proposed.withColumn(fresh(docs.columns, "pii"), spans).drop(held)
 
 
 def _joined(*kinds: str) -> Column:

@@ -7,8 +7,8 @@ Layout of a file (little-endian):
          frame offsets (uint64 each, one more than documents)
   place of the index (uint64), number of documents (uint64), magic
 The dictionary lies beside the files as <hash>.dict. It is trained on the serialised arrays of a bounded
-sample: about SAMPLE documents, chosen by a hash of the id. It only makes frames smaller; every document is
-written whole.
+sample: the first SAMPLE_TEXT characters of about SAMPLE documents, chosen by a hash of id and text. It only makes
+frames smaller; every document is written whole.
 
 Documents are range-partitioned by doc_id and sorted, each task writes its range to files of about
 FILE_BYTES, and returns their names. A document's start is the sum over earlier files plus the counts
@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import cut_text, default_tokenizer, follows_word_rules, forget, text_blocks
+from .bpe import PIECE, Memory, cut_text, default_tokenizer, follows_word_rules, pieces_of, text_blocks
 from .common import Stash, ship
 from .files import RollingWriter, filesystem, read_range, write_small
 
 MAGIC = b"MRNTOK1\n"
 HEAD = len(MAGIC) + 32 + 1
 END_ID = 1
-SAMPLE, DICTIONARY_BYTES, SAMPLE_TEXT_BYTES = 1000, 1 << 16, 8 << 20
+SAMPLE, SAMPLE_TEXT, DICTIONARY_BYTES = 1000, 8192, 1 << 16
 FILE_BYTES, LEVEL = 32 << 20, 1
 #: Strings that the library encodes in one call.
 ASKED = 4096
@@ -65,7 +65,7 @@ class LibraryEncoder:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.by_words = follows_word_rules(spec)
-        self.memory: dict[str, bytes] = {}
+        self.memory = Memory()
         self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
     def _ask(self, strings: list[str]) -> Iterator[bytes]:
@@ -80,11 +80,16 @@ class LibraryEncoder:
         """Serialised ids of each text."""
         if not self.by_words:
             return list(self._ask(texts))
+        if any(len(t) > PIECE for t in texts):
+            return [b"".join(x for piece in pieces_of(t) for x in self._by_words([piece])) for t in texts]
+        return self._by_words(texts)
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         cut, memory = [cut_text(t, self.special)[0] for t in texts], self.memory
         missing = [w for w in set(chain.from_iterable(cut)) if w not in memory]
         memory.update(zip(missing, self._ask(missing), strict=True))
         out = [b"".join(map(memory.__getitem__, own)) for own in cut]
-        forget(memory, [missing])
+        memory.settle(missing)
         return out
 
 
@@ -102,13 +107,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> b
     import zstandard
 
     rows = docs.count()
-    spot = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = docs.filter(spot < min(1.0, SAMPLE / max(1, rows))).select("text")
-    total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > SAMPLE_TEXT_BYTES:  # very long texts: fewer of them
-        chosen = docs.filter(spot < min(1.0, SAMPLE / rows) * SAMPLE_TEXT_BYTES / total).select("text")
+    spot = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
+    start = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_TEXT).alias("text")
+    chosen = docs.select("doc_id", spot.alias("spot"), start).filter(F.col("spot") < min(1.0, SAMPLE / max(1, rows)))
     own = encoder(tokenizer)
-    texts = [r["text"] or "" for r in chosen.limit(2 * SAMPLE).collect()]
+    texts = [r["text"] for r in chosen.orderBy("spot", "doc_id", "text").limit(2 * SAMPLE).collect()]
     end = np.array([end_id], own.kind).tobytes()
     samples = sorted(x + end for x in own.encode(texts))
     try:

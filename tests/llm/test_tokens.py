@@ -54,12 +54,23 @@ def test_random_words_with_other_merges(library, monkeypatch):
     rng = random.Random(5)
     texts = [" ".join("".join(rng.choice("abtheinrs'.,1é") for _ in range(rng.randrange(1, 14))) for _ in range(200)) for _ in range(20)]
     own = bpe.PairIndexBpe(WORD)
-    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "REMEMBERED", 50 * bpe.ENTRY)
     for t in (texts[:7], texts[7:]):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(t)] == [ids_of(library, x) for x in t]
     assert len(own.memory) <= 50
 
 
+def test_long_texts_are_encoded_in_pieces(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE", 40)
+    monkeypatch.setattr(token_output, "PIECE", 40)
+    texts = [t or "" for t in TEXTS if len(t or "") < 40_000] + ["a b " * 100 + "x" * 200 + " İ ’s " + "c d\n" * 50, " " * 100, "y" * 100]
+    assert ["".join(bpe.pieces_of(t)) for t in texts] == texts
+    want = [ids_of(library, t) for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.PairIndexBpe(WORD).encode(texts)] == want
+    own = token_output.LibraryEncoder(WORD)
+    assert [np.frombuffer(x, own.kind).tolist() for x in own.encode(texts)] == want
+
+
 def test_every_character_alone_and_in_words_by_both_encoders(library):
     """Texts that hold one character beside plain ones, so that each is cut as a plain text if it counts as plain."""
     own, asking = bpe.PairIndexBpe(WORD), token_output.LibraryEncoder(WORD)
