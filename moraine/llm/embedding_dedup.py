@@ -13,17 +13,22 @@ dense topic without links, go through further passes among themselves, until non
 the remaining ones with each other is no more work than the passes they need, that is done. So a
 pair at the threshold is missed with probability MISS at most; closer pairs are missed far less.
 
-A pair that several passes bring together counts once: every vector carries its block number in
-all passes, and a pass skips pairs that an earlier one has compared. Thus only degrees and the edges of
-a spanning forest leave a task, linear in its vectors however dense a cluster is. Where a block still finds
-links at the end of its window, the run of similar vectors is longer than the window; such blocks
-are compared further, with twice the reach each round, until their runs end. Equal vectors are
-collapsed first and count by their number, so copies never meet.
+Where a block still finds links at the end of its window, the run of similar vectors is longer than the window;
+such blocks are compared further, with twice the reach each round, until their runs end. A pair that several passes
+bring together counts once: every vector carries its block number in all passes and how far its blocks have been
+compared, and a pass skips pairs that an earlier one has compared. A task adds up degrees and joins links to one forest
+over all its windows, so what leaves it is linear in its vectors however dense a cluster is. Equal vectors are
+collapsed to one numbered class first and count by their number, so copies never meet. Cosines are of doubles.
+
+Each pass sorts 64-bit keys of all vectors that take part in it and moves these vectors once (a quarter of them twice)
+to their windows. Passes grow with the logarithm of the number of vectors in the exponent of p: about 9 for 2 * 10^4,
+100 for 10^9 vectors. A run of m vectors costs m * m / 2 comparisons, as its degrees ask for, and moves its vectors
+m / (HOME * BLOCK) times.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components have no links
 and are kept; so is a row with a null vec_id, whose component_id is null; repeated rows are links of
-each other; vectors of different lengths never link; extra columns are ignored; an empty table gives an
-empty result.
+each other; an id that stands for several vectors has the links of each in its rows; vectors of different lengths never
+link; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stash, ship
+from .common import Stash, join_counted, ship
 from .components import connected_components
 
 THRESHOLD, MISS = 0.9, 0.005
@@ -47,6 +52,8 @@ HOME = 8
 SEED = 11
 #: Block number in passes that a vector takes no part in.
 ABSENT = -(1 << 40)
+#: Degrees and edges that a task gathers before it hands them on, and pairs that are looked up at a time.
+GATHERED, LOOKED_UP = 1 << 20, 1 << 16
 
 
 def passes_for(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
@@ -158,16 +165,39 @@ class _Group:
         self.size = np.diff(vectors.offsets.to_numpy())
         self.flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         self.start = np.cumsum(self.size) - self.size
-        spots = rows["blocks"].combine_chunks()
-        turns = np.diff(spots.offsets.to_numpy())
-        self.spots = np.full((len(self.node), turns.max(initial=0)), ABSENT, np.int64)
-        self.spots[np.arange(self.spots.shape[1]) < turns[:, None]] = spots.flatten().to_numpy(zero_copy_only=False)
+        self.spots = self._table(rows["blocks"])
+        #: How far the block of each pass has been compared before this round, and after it.
+        self.before, self.after = (self._table(rows[c]) if c in rows.column_names else None for c in ("before", "after"))
+
+    @staticmethod
+    def _table(lists: pa.ChunkedArray) -> np.ndarray:
+        """Lists as the rows of a table, filled with ABSENT."""
+        lists = lists.combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        out = np.full((len(sizes), sizes.max(initial=0)), ABSENT, np.int64)
+        out[np.arange(out.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        return out
 
     def met(self, a: np.ndarray, b: np.ndarray, turns: int | None = None) -> np.ndarray:
         """Whether a window of the first ``turns`` passes (all if not given) holds both rows."""
         x, y = self.spots[a, :turns], self.spots[b, :turns]
         return ((np.abs(x - y) <= REACH) & (x != ABSENT)).any(axis=1)
 
+    def compared(self, a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
+        """Whether an earlier round, or an earlier pass of this one, has compared both rows."""
+        out = np.zeros(len(a), bool)
+        turns = self.before.shape[1]
+        for at in range(0, len(a), LOOKED_UP):
+            x, y = a[at : at + LOOKED_UP], b[at : at + LOOKED_UP]
+            s, t = self.spots[x], self.spots[y]
+            out[at : at + LOOKED_UP] = ((s[:, turns:] == t[:, turns:]) & (s[:, turns:] != ABSENT)).any(axis=1)
+            s, t = s[:, :turns], t[:, :turns]
+            least = np.where((s <= t).T, x, y).T  # the row whose block comes first tells how far it has been compared
+            reach = self.before[least, np.arange(turns)]
+            reach[:, :turn] = self.after[least[:, :turn], np.arange(turn)]
+            out[at : at + LOOKED_UP] |= ((np.abs(s - t) <= reach) & (s != ABSENT) & (t != ABSENT)).any(axis=1)
+        return out
+
     def links(self, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers (of a, of b) of all pairs at the threshold."""
         found_a, found_b = [], []
@@ -184,24 +214,60 @@ class _Group:
         return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of the links."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    left, right = [], []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[ry] = rx
-            left.append(x)
-            right.append(y)
-    return left, right
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among n rows as stars: the least row of each component and each of its other rows."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+    others = np.flatnonzero(label != np.arange(n))
+    return label[others], others
+
+
+class _Tally:
+    """Degrees and links of a task, summed and joined over its groups."""
+
+    def __init__(self):
+        none = np.zeros(0, np.int64)
+        self.degrees, self.edges, self.size = [(none, none)], [(none, none)], 0
+
+    def add(self, g: _Group, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Count links of row numbers; yields what was gathered if that is much."""
+        if not len(x):
+            return
+        degree = np.zeros(len(g.node), np.int64)
+        np.add.at(degree, x, g.copies[y])
+        np.add.at(degree, y, g.copies[x])
+        some = np.flatnonzero(degree)
+        s, t = _forest(x, y, len(g.node))
+        self.degrees.append((g.node[some], degree[some]))
+        self.edges.append((g.node[s], g.node[t]))
+        self.size += len(some) + len(s)
+        if self.size > GATHERED:
+            self._merge()
+            if self.size > GATHERED // 2:
+                yield from self.results()
+
+    def _merge(self) -> None:
+        nodes, counts = (np.concatenate(c) for c in zip(*self.degrees, strict=True))
+        own, at = np.unique(nodes, return_inverse=True)
+        total = np.zeros(len(own), np.int64)
+        np.add.at(total, at, counts)
+        a, b = (np.concatenate(c) for c in zip(*self.edges, strict=True))
+        ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        s, t = _forest(at[: len(a)], at[len(a) :], len(ends))
+        self.degrees, self.edges, self.size = [(own, total)], [(ends[s], ends[t])], len(own) + len(s)
+
+    def results(self) -> Iterator[pa.RecordBatch]:
+        self._merge()
+        (nodes, counts), (a, b) = self.degrees[0], self.edges[0]
+        self.__init__()
+        yield _result("degree", nodes, nodes, counts)
+        yield _result("edge", a, b, np.zeros(len(a), np.int64))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -242,10 +308,9 @@ def _compare(threshold: float):
     """Windows of one pass and group: degrees, a forest of links, and blocks whose run goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
         for (turn, home), rows in _groups(batches, ["pass", "home"]):
-            g = _Group(rows)
-            degree = np.zeros(len(g.node), np.int64)
-            all_a, all_b, going = [], [], []
+            g, going = _Group(rows), []
             for block in range(home * HOME, home * HOME + HOME):
                 a = np.flatnonzero(g.block == block)
                 b = np.flatnonzero((g.block >= block) & (g.block <= block + REACH))
@@ -259,32 +324,34 @@ def _compare(threshold: float):
                 if turn and len(x):
                     before = g.met(x, y, turn)
                     x, y = x[~before], y[~before]
-                np.add.at(degree, x, g.copies[y])
-                np.add.at(degree, y, g.copies[x])
-                all_a.append(x)
-                all_b.append(y)
-            some = np.flatnonzero(degree)
-            yield _result("degree", g.node[some], g.node[some], degree[some])
-            if all_a:
-                s, t = _forest(np.concatenate(all_a), np.concatenate(all_b), len(g.node))
-                yield _result("edge", g.node[s], g.node[t], np.zeros(len(s), np.int64))
+                yield from tally.add(g, x, y)
             yield _result("open", going, [turn] * len(going), [0] * len(going))
+        yield from tally.results()
 
     return run
 
 
 def _compare_far(threshold: float):
-    """Two distant blocks of one pass: pairs that no window of any pass holds."""
+    """Two homes of one pass: blocks of the first whose run goes on, with the blocks of the second in their new reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
         for (turn, first, second), rows in _groups(batches, ["pass", "first", "second"]):
             g = _Group(rows)
-            x, y = g.links(np.flatnonzero(g.block == first), np.flatnonzero(g.block == second), threshold)
-            if len(x):
-                yield _result("open", [first], [turn], [second])
-                new = ~g.met(x, y)
-                x, y = g.node[x[new]], g.node[y[new]]
-                yield _result("pair", np.minimum(x, y), np.maximum(x, y), np.zeros(len(x), np.int64))
+            for block in range(first * HOME, first * HOME + HOME):
+                a = np.flatnonzero(g.block == block)
+                if not len(a):
+                    continue
+                low, high = block + g.before[a[0], turn], block + g.after[a[0], turn]
+                b = np.flatnonzero((g.block > low) & (g.block <= high) & (g.block // HOME == second))
+                if not len(b):
+                    continue
+                x, y = g.links(a, b, threshold)
+                if len(x):
+                    yield _result("open", [block], [turn], [int(g.block[y].max()) - block])
+                    new = ~g.compared(x, y, turn)
+                    yield from tally.add(g, x[new], y[new])
+        yield from tally.results()
 
     return run
 
@@ -293,25 +360,17 @@ def _compare_all(threshold: float, turns: int):
     """Two squares of the vectors that are compared with each other: degrees and a forest of links that no pass holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
         for (first, second), rows in _groups(batches, ["first", "second"]):
             g = _Group(rows)
             a, b = np.flatnonzero(g.block == first), np.flatnonzero(g.block == second)
-            all_x, all_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for at in range(0, len(a), BLOCK):
                 x, y = g.links(a[at : at + BLOCK], b, threshold)
                 new = ~g.met(x, y, turns)
                 if first == second:
                     new &= y > x
-                all_x.append(x[new])
-                all_y.append(y[new])
-            x, y = np.concatenate(all_x), np.concatenate(all_y)
-            degree = np.zeros(len(g.node), np.int64)
-            np.add.at(degree, x, g.copies[y])
-            np.add.at(degree, y, g.copies[x])
-            some = np.flatnonzero(degree)
-            yield _result("degree", g.node[some], g.node[some], degree[some])
-            s, t = _forest(x, y, len(g.node))
-            yield _result("edge", g.node[s], g.node[t], np.zeros(len(s), np.int64))
+                yield from tally.add(g, x[new], y[new])
+        yield from tally.results()
 
     return run
 
@@ -348,10 +407,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     spark = vectors.sparkSession
     ship(spark)
     stash = Stash(spark)
-    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"))
+    held = vectors.schema["embedding"].dataType
+    kind = "array<float>" if held.elementType.typeName() in ("float", "byte", "short") else "array<double>"
+    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"))
     given = given.withColumn("ok", usable(F.col("vec")) & F.col("vec_id").isNotNull())
-    reps = given.filter("ok").groupBy("vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    reps = stash.put(reps.groupBy("node", "vec").agg(F.sum("copies").alias("copies")), "reps")
+    reps = given.filter("ok").groupBy("vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    classes = stash.put(reps.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, then read
+    reps = classes.select("node", "vec", "copies")
     count = reps.count()
     turns = passes or passes_for(count, threshold)
 
@@ -364,7 +426,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
         if passes:
             break
         left = left.join(found[-1].select("node", F.col("s.signs").alias("signs")), "node").select("node", "vec", "log", "signs")
-        left = left.mapInArrow(_missed(first, threshold), "node long, vec array<float>, log double").filter(F.col("log") > math.log(MISS))
+        left = left.mapInArrow(_missed(first, threshold), f"node long, vec {kind}, log double").filter(F.col("log") > math.log(MISS))
         left = stash.put(left, f"left{turns}")
         count, log = left.agg(F.count(F.lit(1)), F.percentile_approx("log", 0.5)).first()
         if not count:
@@ -387,7 +449,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     grouped = each.withColumn("home", F.explode(homes)).repartition("pass", "home").sortWithinPartitions("pass", "home", "block", "node")
     result = stash.put(grouped.mapInArrow(_compare(threshold), RESULT), "windows")
     if rest is not None:
-        n = max(1, -(-count // (BLOCK * HOME)))
+        n = max(1, -(-count // (2 * BLOCK)))
         own, other = F.col("block"), F.col("other")
         square = rows.filter(F.size("blocks") > turns).withColumn("block", F.pmod(F.xxhash64("node"), F.lit(n)).cast("int"))
         square = square.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -395,35 +457,53 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
         square = square.repartition("first", "second").sortWithinPartitions("first", "second", "block", "node")
         result = result.unionByName(stash.put(square.mapInArrow(_compare_all(threshold, turns), RESULT), "squares"))
 
-    pairs = spark.createDataFrame([], RESULT)
-    going = result.filter("kind = 'open'").select(F.col("a").cast("int").alias("first"), F.col("b").cast("int").alias("pass")).distinct()
-    reach, turn = REACH, 0
+    going = result.filter("kind = 'open'").select(F.col("b").cast("int").alias("pass"), F.col("a").cast("int").alias("block")).distinct()
+    reach, turn, reaches = REACH, 0, None
     while not going.isEmpty():
         turn += 1
-        wanted = going.withColumn("second", F.explode(F.sequence(F.col("first") + reach + 1, F.col("first") + 2 * reach)))
-        wanted = wanted.withColumn("block", F.explode(F.array("first", "second")))
-        far = each.join(wanted, ["pass", "block"]).repartition("pass", "first", "second").sortWithinPartitions("pass", "first", "second", "block", "node")
-        found = stash.put(far.mapInArrow(_compare_far(threshold), RESULT), f"far{turn}")
-        pairs = pairs.unionByName(found.filter("kind = 'pair'"))
+        now = going.withColumn("after", F.lit(2 * reach).cast("long"))
+        if reaches is not None:
+            now = reaches.join(now, ["pass", "block"], "full")
+        before = F.coalesce("before", F.lit(REACH)) if reaches is not None else F.lit(REACH)
+        table = now.select("pass", "block", before.cast("long").alias("before"), F.coalesce("after", before).cast("long").alias("after"))
+        table = stash.put(table, f"reaches{turn}")
+        reaches = table.select("pass", "block", F.col("after").alias("before"))
+        result = result.unionByName(_further(each, table, reach, threshold, stash, turn))
+        found_far = stash.get(f"far{turn}", result.schema).filter("kind = 'open'")
         # A run goes on where links were found in the farther half of this round's reach.
-        last = found.filter("kind = 'open'").filter(F.col("n") - F.col("a") > reach + reach // 2)
-        going = last.select(F.col("a").cast("int").alias("first"), F.col("b").cast("int").alias("pass")).distinct()
+        last = found_far.filter(F.col("n") > reach + reach // 2)
+        going = last.select(F.col("b").cast("int").alias("pass"), F.col("a").cast("int").alias("block")).distinct()
         reach *= 2
 
-    pairs = stash.put(pairs.select("a", "b").distinct(), "pairs")
-    copies = reps.select("node", "copies")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    far_degree = both.join(copies, both.b == copies.node).select(F.col("a").alias("node"), F.col("copies").alias("n"))
-    degree = result.filter("kind = 'degree'").select(F.col("a").alias("node"), "n").unionByName(far_degree)
-    degree = degree.groupBy("node").agg(F.sum("n").alias("n"))
-    found = connected_components(result.filter("kind = 'edge'").select("a", "b").unionByName(pairs))
-
-    classes = reps.join(degree, "node", "left").join(found, "node", "left")
-    n_links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
-    classes = classes.select("vec", n_links.alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    good = given.filter("ok").drop("ok").join(classes, "vec").select("vec_id", "n_links", "component_id")
-    rest = given.filter("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    degree = result.filter("kind = 'degree'").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    found = connected_components(result.filter("kind = 'edge'").select("a", "b"))
+    linked = stash.put(classes.select("node", "id").join(found, "node"), "linked")
+    least = stash.put(linked.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    named = join_counted(linked, least, ["component"], linked.count()).select("node", "component_id")
+    out = classes.join(degree, "node", "left").join(named, "node", "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    out = stash.put(out.select("vec", "copies", n_links.alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "decided")
+    stash.drop("rows", "windows", "squares", *[f"{x}{i}" for x in ("placed", "ends", "spots", "left", "reaches", "far") for i in range(max(turns, turn) + 1)])
+    good = join_counted(given.filter("ok").drop("ok"), out, ["vec"], given.count(), "copies").select("vec_id", "n_links", "component_id")
+    bad = given.filter("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return good.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _further(each: DataFrame, table: DataFrame, reach: int, threshold: float, stash: Stash, turn: int) -> DataFrame:
+    """Results of comparing the blocks of table(pass, block, before, after) whose reach grows beyond ``reach``."""
+    home = lambda c: F.floor(c / HOME).cast("int")
+    block = F.col("block")
+    squares = table.filter("after > before").select("pass", home(block).alias("first"), home(block + reach + 1).alias("x"), home(block + 2 * reach).alias("y"))
+    squares = squares.select("pass", "first", F.explode(F.sequence("x", "y")).alias("second")).distinct()
+    members = squares.withColumn("home", F.explode(F.array_distinct(F.array("first", "second"))))
+    far = each.withColumn("home", home(block)).join(members, ["pass", "home"]).drop("home")
+    nodes = far.select("node").distinct()
+    marks = each.select("node", "pass", "block").join(nodes, "node", "left_semi").join(table, ["pass", "block"], "left")
+    mark = F.struct("pass", F.coalesce("before", F.lit(REACH)).cast("long").alias("before"), F.coalesce("after", F.lit(REACH)).cast("long").alias("after"))
+    marks = marks.groupBy("node").agg(F.sort_array(F.collect_list(mark)).alias("m"))
+    far = far.join(marks.select("node", F.col("m.before").alias("before"), F.col("m.after").alias("after")), "node")
+    far = far.repartition("pass", "first", "second").sortWithinPartitions("pass", "first", "second", "block", "node")
+    return stash.put(far.mapInArrow(_compare_far(threshold), RESULT), f"far{turn}")
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

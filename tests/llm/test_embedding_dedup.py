@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from moraine.llm import common
 from moraine.llm import embedding_dedup as ed
 
 
@@ -40,7 +41,7 @@ def test_odd_vectors(spark):
     a = [1.0, 2.0, 3.0]
     check(
         spark,
-        [(1, a), (2, a), (3, [2.0, 4.0, 6.0]), (4, [-1.0, -2.0, -3.0]), (5, None), (6, []), (7, [0.0, 0.0, 0.0]), (8, [1.0, None, 3.0]), (9, [float("nan"), 1.0, 1.0]),
+        [(1, a), (1, [5.0, -1.0, 0.5]), (1, [5.0, -1.0, 0.5]), (21, [5.0, -1.0, 0.6]), (2, a), (3, [2.0, 4.0, 6.0]), (4, [-1.0, -2.0, -3.0]), (5, None), (6, []), (7, [0.0, 0.0, 0.0]), (8, [1.0, None, 3.0]), (9, [float("nan"), 1.0, 1.0]),
          (10, [float("inf"), 1.0, 1.0]), (11, [1.0, 2.0]), (None, a), (12, [1.0, 2.0, 3.1]), (12, [1.0, 2.0, 3.1])],
     )
 
@@ -67,6 +68,54 @@ def test_runs_longer_than_the_window(spark, monkeypatch):
     check(spark, clusters(4, 3, 90, 0.05), passes=6)
 
 
+def test_what_leaves_the_tasks_is_linear_in_a_cluster(spark, monkeypatch):
+    """One cluster of distinct vectors: degrees are exact, and twice the vectors give about twice the rows."""
+    monkeypatch.setattr(ed, "BLOCK", 64)
+    rows, put = [], common.Stash.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        if name.startswith(("windows", "far", "squares")):
+            rows[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(common.Stash, "put", counted)
+    for n in (1500, 3000):
+        x = np.array([v for _, v in clusters(8, 1, n, 0.25)], np.float32)
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+        rows.append(0)
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ed.near_duplicates(df, passes=3).collect()}
+        x = x.astype(np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        want = (x @ x.T >= ed.THRESHOLD).sum(1) - 1
+        assert want.sum() > 100 * n and all(got[i] == (want[i], 0) for i in range(n))
+    assert rows[1] < 3 * rows[0], rows
+
+
+def test_double_vectors_keep_their_precision(spark):
+    a = [1.0, 0.0]
+    cosine = lambda v: v[0] / np.sqrt(v @ v)
+    c = 0.9 - 1e-9
+    tried = (np.array([c, np.sqrt(1 - c * c)]) * k for k in np.linspace(1, 2, 1000))
+    near = next(v.tolist() for v in tried if cosine(v) < 0.9 <= cosine(v.astype(np.float32).astype(np.float64)))
+    df = spark.createDataFrame([(1, a), (2, near)], "vec_id long, embedding array<double>")
+    assert [r["n_links"] for r in ed.near_duplicates(df).collect()] == [0, 0]
+
+
+def test_recall_at_the_default_block(spark):
+    """18,000 vectors in all directions with 2,000 pairs planted just above the threshold, over many windows."""
+    rng, n, pairs, dim = np.random.default_rng(12), 18_000, 2000, 64
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = rng.standard_normal((pairs, dim))
+    turn -= (turn * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    x[pairs : 2 * pairs] = 0.902 * x[:pairs] + np.sqrt(1 - 0.902**2) * turn
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(np.float32(x).tolist())], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["component_id"] for r in ed.near_duplicates(df).collect()}
+    assert len(got) == n and sum(got[pairs + i] == i for i in range(pairs)) / pairs >= 0.98
+
+
 def test_passes_grow_with_the_number_of_vectors():
     assert ed.passes_for(100) == 2
     assert ed.passes_for(10_000) < ed.passes_for(1_000_000) < ed.passes_for(10**9)
@@ -75,8 +124,8 @@ def test_passes_grow_with_the_number_of_vectors():
 
 @pytest.mark.parametrize("a, b", [([0, 1, 2, 0], [1, 2, 0, 3])])
 def test_forest_spans(a, b):
-    left, right = ed._forest(np.array(a), np.array(b), 4)
-    assert len(left) == len(right) == 3
+    left, right = ed._forest(np.array(a), np.array(b), 5)
+    assert left.tolist() == [0, 0, 0] and right.tolist() == [1, 2, 3]
 
 
 def cone(seed, n, pairs, dim=32):
