@@ -44,10 +44,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. What a stage needs besides its result goes once that is written, and so do its docs."""
     stash = Stash(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for n, (name, stage) in enumerate(STAGES):
-        result = stage(spark, docs, sf_dir)
-        docs = stash.put(result, f"{n}_{name}")
+        mark = Stash.mark()
+        docs = stash.put(stage(spark, docs, sf_dir), f"{n}_{name}")
+        Stash.release(mark)
+        if before:
+            stash.drop(before)
+        before = f"{n}_{name}"
     return docs
