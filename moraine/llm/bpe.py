@@ -45,7 +45,7 @@ PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LE
 WORD_RULES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Bytes of words, chunks and ids that a worker remembers (with ENTRY for each one's own cost), bytes of text that are
 #: encoded together, and characters of a text that are.
-REMEMBERED, ENTRY, BLOCK, PIECE = 96 << 20, 160, 4 << 20, 2 << 20
+REMEMBERED, ENTRY, BLOCK, PIECE = 48 << 20, 200, 2 << 20, 2 << 20
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 

@@ -129,10 +129,12 @@ def join_counted(many: DataFrame, one: DataFrame, keys: list[str], rows: int, n:
     """Join (inner or left) of many with one, which has a row per key (without nulls) and in ``n`` how many rows of many have it.
 
     Rows of heavy keys find theirs by a broadcast of at most HEAVY_SHARE rows and stay where they are; the
-    others by a sort-merge join, in which no key has more rows than that share.
+    others by a sort-merge join, in which no key has more rows than that share. ``one`` is read twice: it should be written.
     """
     bound = max(LEAST_HEAVY, -(-rows // HEAVY_SHARE))
     heavy, light = one.filter(F.col(n) >= bound), one.filter(F.col(n) < bound)
+    if heavy.isEmpty():
+        return many.join(one.hint("merge"), keys, how)
     rest = many.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
     return many.join(F.broadcast(heavy), keys).unionByName(rest.join(light.hint("merge"), keys, how))
 

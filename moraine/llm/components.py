@@ -13,20 +13,21 @@ from pyspark.sql import functions as F
 from .common import Stash, join_counted
 
 
-def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+def _with_least(edges: DataFrame, rows: int, stash: Stash, name: str) -> DataFrame:
     """edges with m, the least v of each u."""
-    return join_counted(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), ["u"], rows)
+    least = stash.put(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), name)
+    return join_counted(edges, least, ["u"], rows)
 
 
-def _large_star(edges: DataFrame, rows: int) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int, stash: Stash, name: str) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both, 2 * rows).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    return _with_least(both, 2 * rows, stash, name).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame, rows: int) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int, stash: Stash, name: str) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    moved = _with_least(down, rows).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(down.groupBy("u").agg(F.min("v").alias("v")))
+    moved = _with_least(down, rows, stash, name).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(stash.get(name, "u long, m long").select("u", F.col("m").alias("v")))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -40,8 +41,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen, n = state, n + 1
-        large = stash.put(_large_star(edges, state[0]), f"large{n}")
-        edges = stash.put(_small_star(large, state[0]).filter("u != v").distinct(), f"round{n}")
-        stash.drop(f"round{n - 1}", f"large{n}")
+        large = stash.put(_large_star(edges, state[0], stash, f"one{n}"), f"large{n}")
+        small = _small_star(large, state[0], stash, f"two{n}")
+        edges = stash.put(small.filter("u != v").distinct(), f"round{n}")
+        stash.drop(f"round{n - 1}", f"large{n}", f"one{n}", f"two{n}")
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -37,7 +37,7 @@ from .components import connected_components
 WORDS = 5
 BINS, ROWS = 128, 4
 SEED = 0x5EED
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 SEGMENT = 1 << 20
 #: Rows of one key that a block holds where a key is split.
 SQUARE = 1024
@@ -284,12 +284,15 @@ def decide(docs: DataFrame, percent: int = 75) -> DataFrame:
     banded = signed.join(one, ["doc_id", "body", *keys]).dropDuplicates(["doc_id", "body", *keys, "node"])
     banded = banded.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("members"))
-    met = stash.put(banded.join(buckets.filter("x != y").drop("x", "y"), "bucket"), "met")
+    buckets = stash.put(buckets.filter("x != y").drop("x", "y"), "buckets")
+    rows = buckets.agg(F.sum("members")).first()[0] or 0
+    met = stash.put(join_counted(banded, buckets, ["bucket"], rows, "members"), "met")
     weight = met.groupBy("node").agg(F.sum("members").alias("weight"))
     members = stash.put(met.join(weight, "node"), "members")
     hub = F.max(F.struct("weight", (-F.col("node")).alias("id"), "n_shingles"))
-    hubs = members.groupBy("bucket").agg(hub.alias("h")).select("bucket", (-F.col("h.id")).alias("hub"), F.col("h.n_shingles").alias("hub_n"))
-    members = members.drop("weight").join(hubs, "bucket")
+    hubs = members.groupBy("bucket").agg(hub.alias("h"), F.max("members").alias("members"))
+    hubs = stash.put(hubs.select("bucket", (-F.col("h.id")).alias("hub"), F.col("h.n_shingles").alias("hub_n"), "members"), "hubs")
+    members = join_counted(members.drop("weight", "members"), hubs, ["bucket"], rows, "members")
 
     # Sets whose sizes differ too much can't be alike enough.
     alike = 100 * F.least("n_shingles", "hub_n") >= percent * F.greatest("n_shingles", "hub_n")
@@ -321,7 +324,7 @@ def decide(docs: DataFrame, percent: int = 75) -> DataFrame:
     named = join_counted(linked, least, ["component"], linked.count()).select("node", "component_id")
     classes = reps.join(named, "node", "left").select(*keys, "copies", F.coalesce("component_id", "id").alias("component_id"))
     classes = stash.put(classes, "classes")
-    stash.drop("met", "members", "stars", "sets", "links1", "open", "rarity", "heads", "several", "links2", "linked", "least", "reps")
+    stash.drop("buckets", "met", "members", "hubs", "stars", "sets", "links1", "open", "rarity", "heads", "several", "links2", "linked", "least", "reps")
     linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     slim = signed.drop("bands")
     out = join_counted(slim.filter(linkable), classes, keys, slim.count(), "copies").select("doc_id", "body", "n_shingles", "component_id")

@@ -96,7 +96,8 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     asked = sites.select(host, path, "n", F.posexplode(proposals(F.col(host), F.col(path))).alias("depth", "rule"))
     asked = stash.put(asked.withColumn("slot", _slots("rule")).join(named, "slot", "left_semi").drop("slot"), "asked")
     counts = asked.groupBy("rule").agg(F.count(F.lit(1)).alias("sites"))
-    hits = join_counted(asked, lines.join(counts, "rule"), ["rule"], asked.count(), "sites")
+    lines = stash.put(lines.join(counts, "rule"), "named")
+    hits = join_counted(asked, lines, ["rule"], asked.count(), "sites")
     each = F.sort_array(F.collect_list(F.struct("depth", "rule", "lists"))).alias(found)
     matched = stash.put(hits.groupBy(host, path, "n").agg(each).withColumnRenamed("n", hit), "matched")
     rows = matched.agg(F.coalesce(F.sum(hit), F.lit(0))).first()[0]
