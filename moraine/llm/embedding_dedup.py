@@ -449,7 +449,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     grouped = each.withColumn("home", F.explode(homes)).repartition("pass", "home").sortWithinPartitions("pass", "home", "block", "node")
     result = stash.put(grouped.mapInArrow(_compare(threshold), RESULT), "windows")
     if rest is not None:
-        n = max(1, -(-count // (2 * BLOCK)))
+        n = max(1, -(-count // (BLOCK * HOME)))
         own, other = F.col("block"), F.col("other")
         square = rows.filter(F.size("blocks") > turns).withColumn("block", F.pmod(F.xxhash64("node"), F.lit(n)).cast("int"))
         square = square.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -493,10 +493,10 @@ def _further(each: DataFrame, table: DataFrame, reach: int, threshold: float, st
     """Results of comparing the blocks of table(pass, block, before, after) whose reach grows beyond ``reach``."""
     home = lambda c: F.floor(c / HOME).cast("int")
     block = F.col("block")
-    squares = table.filter("after > before").select("pass", home(block).alias("first"), home(block + reach + 1).alias("x"), home(block + 2 * reach).alias("y"))
-    squares = squares.select("pass", "first", F.explode(F.sequence("x", "y")).alias("second")).distinct()
-    members = squares.withColumn("home", F.explode(F.array_distinct(F.array("first", "second"))))
-    far = each.withColumn("home", home(block)).join(members, ["pass", "home"]).drop("home")
+    ahead = F.explode(F.sequence(block + reach + 1, block + 2 * reach))
+    pairs = table.filter("after > before").select("pass", block.alias("x"), ahead.alias("y"))
+    members = pairs.select("pass", home(F.col("x")).alias("first"), home(F.col("y")).alias("second"), F.explode(F.array("x", "y")).alias("block")).distinct()
+    far = each.join(members, ["pass", "block"])
     nodes = far.select("node").distinct()
     marks = each.select("node", "pass", "block").join(nodes, "node", "left_semi").join(table, ["pass", "block"], "left")
     mark = F.struct("pass", F.coalesce("before", F.lit(REACH)).cast("long").alias("before"), F.coalesce("after", F.lit(REACH)).cast("long").alias("after"))
