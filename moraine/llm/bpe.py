@@ -91,19 +91,24 @@ def pieces_of(text: str) -> Iterator[str]:
 
 
 class Memory(dict):
-    """Ids of words and chunks, up to REMEMBERED bytes: what comes first stays, as frequent words come early."""
+    """Ids of words and chunks, up to ``most`` bytes: what comes first stays, as frequent words come early."""
 
-    held = 0
+    def __init__(self, most: int = 0):
+        super().__init__()
+        self.most, self.held = most or REMEMBERED, 0
 
     def settle(self, *latest: list[str]) -> None:
-        """Count the latest keys, or take them out again where they are too much."""
+        """Count the latest keys, and take those out again that are too much."""
         for keys in latest:
-            size = sum(2 * len(k) + len(self[k]) for k in keys) + ENTRY * len(keys)
-            if self.held + size <= REMEMBERED:
-                self.held += size
-            else:
-                for k in keys:
-                    self.pop(k, None)
+            sizes = [ENTRY + 2 * len(k) + len(self[k]) for k in keys]
+            if self.held + sum(sizes) <= self.most:
+                self.held += sum(sizes)
+                continue
+            for k, size in zip(keys, sizes, strict=True):
+                if self.held + size <= self.most:
+                    self.held += size
+                else:
+                    del self[k]
 
 
 class PairIndexBpe:

@@ -43,8 +43,8 @@ HEAD = len(MAGIC) + 32 + 1
 END_ID = 1
 SAMPLE, SAMPLE_TEXT, DICTIONARY_BYTES = 1000, 8192, 1 << 16
 FILE_BYTES, LEVEL = 32 << 20, 1
-#: Strings that the library encodes in one call.
-ASKED = 4096
+#: Strings that the library encodes in one call; bytes of words that a worker remembers, and of texts encoded together.
+ASKED, REMEMBERED, BLOCK = 4096, 128 << 20, 4 << 20
 
 
 class LibraryEncoder:
@@ -65,7 +65,7 @@ class LibraryEncoder:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.by_words = follows_word_rules(spec)
-        self.memory = Memory()
+        self.memory = Memory(REMEMBERED)
         self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
     def _ask(self, strings: list[str]) -> Iterator[bytes]:
@@ -147,7 +147,7 @@ def _writer(tokenizer: str, folder: str, dictionary: bytes, end_id: int, file_by
             ids.clear(), counts.clear(), offsets.clear()
 
         for batch in batches:
-            for at, texts in text_blocks(batch.column(1)):
+            for at, texts in text_blocks(batch.column(1), BLOCK):
                 for doc_id, data_ in zip(batch.column(0).slice(at, len(texts)).to_pylist(), own.encode(texts), strict=True):
                     if out.out is None:
                         out.open()

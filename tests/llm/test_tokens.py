@@ -50,11 +50,11 @@ def test_bpe_keeps_columns_and_gives_ids_and_text(spark, docs, library):
     assert all(r["decoded"] == library.decode(ids_of(library, r["text"]), skip_special_tokens=False) for r in rows)
 
 
-def test_random_words_with_other_merges(library, monkeypatch):
+def test_random_words_with_other_merges(library):
     rng = random.Random(5)
     texts = [" ".join("".join(rng.choice("abtheinrs'.,1é") for _ in range(rng.randrange(1, 14))) for _ in range(200)) for _ in range(20)]
     own = bpe.PairIndexBpe(WORD)
-    monkeypatch.setattr(bpe, "REMEMBERED", 50 * bpe.ENTRY)
+    own.memory = bpe.Memory(50 * bpe.ENTRY)
     for t in (texts[:7], texts[7:]):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(t)] == [ids_of(library, x) for x in t]
     assert len(own.memory) <= 50
