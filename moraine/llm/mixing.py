@@ -119,7 +119,8 @@ def decide(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS) -> Dat
     totals = line.groupBy("part").agg(F.sum("size").alias("part_size"))
     begin = F.sum("part_size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # one row per partition
     totals = totals.withColumn("part_start", F.coalesce(begin, F.lit(0)))
-    totals = totals.crossJoin(goals.agg(F.sum("target").alias("budget")))  # one row
+    # The sum of the targets, from whole numbers, so that no order of adding fractions moves the cut.
+    totals = totals.crossJoin(goals.agg((F.lit(float(min(share, repeats))) * F.sum("source_size")).alias("budget")))  # one row
     sums = F.sum("size").over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
     cut = line.join(totals, "part").withColumn("running", F.col("part_start") + sums)
     cut = cut.withColumn("in", F.col("running") - F.col("size") / 2 <= F.col("budget"))

@@ -1,0 +1,67 @@
+"""Plain versions on the driver of what the operators do, without any of their code."""
+
+import unicodedata
+
+import xxhash
+from tokenizers import Tokenizer
+
+from .test_minhash import brute, shingles
+from .test_mixing import fair
+
+__all__ = ["brute", "encoded", "has_letter", "queue", "shingles"]
+
+
+def _chain(*values) -> int:
+    """A signed 64-bit hash of longs and strings, each seeded by the one before."""
+    h = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else (v % 2**64).to_bytes(8, "little")
+        h = xxhash.xxh64(data, seed=h).intdigest()
+    return h - 2**64 if h >= 2**63 else h
+
+
+def _size(text) -> int:
+    return len([w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in text or "").split(" ") if w])
+
+
+def queue(rows, slices):
+    """Times each of rows (doc_id, text, source) is taken: one queue for all, two turns a document, cut at the budget."""
+    sizes: dict = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + _size(text)
+    target, seen, lines = fair(sizes), {}, {s: [] for s in sizes}
+    for at, (i, text, source) in enumerate(rows):
+        k = seen[i, text or "", source] = seen.get((i, text or "", source), -1) + 1
+        n, body = _size(text), _chain(text or "")
+        spot = _chain(-1 if i is None else i, source or "", n, body, k)
+        lines[source].append(((spot >> 20) % slices, spot, at, n))
+    line = []
+    for source, own in lines.items():
+        served = 0
+        for _, spot, at, n in sorted(own):
+            served += n
+            for turn in (0, 1):
+                finish = (served - n / 2 + turn * sizes[source]) / target[source] if target[source] else 0.0
+                line.append((finish, spot, at, turn, n))
+    times, running = [0] * len(rows), 0
+    for _, _, at, _, n in sorted(line):
+        running += n
+        times[at] += running - n / 2 <= 1.5 * sum(sizes.values())
+    return times
+
+
+def has_letter(text) -> bool:
+    return any(unicodedata.category(c).startswith("L") for c in text or "")
+
+
+def encoded(path):
+    """A function from texts to ids and their decoded text, by the library."""
+    own = Tokenizer.from_file(path)
+    own.no_truncation()
+    own.no_padding()
+
+    def run(text):
+        ids = own.encode(text or "", add_special_tokens=False).ids
+        return ids, own.decode(ids, skip_special_tokens=False)
+
+    return run

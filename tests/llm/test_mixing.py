@@ -71,3 +71,16 @@ def test_mixed_documents_repeat_as_taken(spark):
     assert out.columns == given.columns
     words = sum(len(r["text"].split()) for r in out.collect())
     assert words == sum(r["taken"] for r in mixing.mix(given).collect())
+
+
+@pytest.mark.parametrize("slice_rows", [20_000, 50])
+def test_the_queue_equals_a_plain_one(spark, monkeypatch, slice_rows):
+    from .plain import queue
+
+    monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
+    rows = corpus(3, 700, ["a", "b", None, "é"]) + [(9, "same row", "b"), (9, "same row", "b"), (None, "no id", "a"), (None, "no id", "a"), (8, None, "a")]
+    dealt = max(len(rows) // slice_rows, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1)
+    got = sorted((str(r["doc_id"]), str(r["source"]), r["size"], r["taken"]) for r in mixing.mix(docs(spark, rows)).collect())
+    size = [len((t or "").split()) for _, t, _ in rows]
+    want = [(str(i), str(s), n, n * x) for (i, _, s), n, x in zip(rows, size, queue(rows, 1 << dealt.bit_length()), strict=True)]
+    assert got == sorted(want)
