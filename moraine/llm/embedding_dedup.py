@@ -449,7 +449,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     grouped = each.withColumn("home", F.explode(homes)).repartition("pass", "home").sortWithinPartitions("pass", "home", "block", "node")
     result = stash.put(grouped.mapInArrow(_compare(threshold), RESULT), "windows")
     if rest is not None:
-        n = max(1, -(-count // (BLOCK * HOME)))
+        # Squares of HOME blocks; fewer blocks each where the pairs of squares would not occupy all cores.
+        n = max(1, -(-count // (BLOCK * HOME)), min(-(-count // BLOCK), math.isqrt(2 * spark.sparkContext.defaultParallelism)))
         own, other = F.col("block"), F.col("other")
         square = rows.filter(F.size("blocks") > turns).withColumn("block", F.pmod(F.xxhash64("node"), F.lit(n)).cast("int"))
         square = square.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
