@@ -411,7 +411,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     kind = "array<float>" if held.elementType.typeName() in ("float", "byte", "short") else "array<double>"
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"))
     given = given.withColumn("ok", usable(F.col("vec")) & F.col("vec_id").isNotNull())
-    reps = given.filter("ok").groupBy("vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    given = given.withColumn("hash", F.xxhash64("vec"))  # sorts fast; vectors themselves are compared at ties only
+    reps = given.filter("ok").groupBy("hash", "vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     classes = stash.put(reps.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, then read
     reps = classes.select("node", "vec", "copies")
     count = reps.count()
@@ -483,9 +484,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     named = join_counted(linked, least, ["component"], linked.count()).select("node", "component_id")
     out = classes.join(degree, "node", "left").join(named, "node", "left")
     n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
-    out = stash.put(out.select("vec", "copies", n_links.alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "decided")
+    out = stash.put(out.select("hash", "vec", "copies", n_links.alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "decided")
     stash.drop("rows", "windows", "squares", *[f"{x}{i}" for x in ("placed", "ends", "spots", "left", "reaches", "far") for i in range(max(turns, turn) + 1)])
-    good = join_counted(given.filter("ok").drop("ok"), out, ["vec"], given.count(), "copies").select("vec_id", "n_links", "component_id")
+    good = join_counted(given.filter("ok").drop("ok"), out, ["hash", "vec"], given.count(), "copies").select("vec_id", "n_links", "component_id")
     bad = given.filter("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
